@@ -35,7 +35,7 @@ DUMP_LANGUAGE = r"\A([a-z]+)wiki-"
 DEFAULT_LANGUAGE = "en"
 INVENTORY_LANGUAGE = r"\A([a-z\-]+)wiki-"
 INVENTORY_DATE = r"wiki-(\d{8})-"
-INVENTORY_GLOB = "*wiki-*-pages-articles*.bz2"
+INVENTORY_NAME = r"wiki-.*-pages-articles.*\.bz2\z"
 DUMP_GLOB = "*.bz2"
 DUMP_SUFFIX = "-pages-articles-multistream.xml.bz2"
 DUMP_SITE = "https://dumps.wikimedia.org/"

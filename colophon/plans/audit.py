@@ -187,10 +187,8 @@ def run_audit(
     if output is None or totals["articles_with_isbn"] == 0:
         return run
 
-    files = list_files(spark, dumps_dir)
-    if "dump=" in dumps_dir or files.filter(F.col("path").contains("/dump=")).limit(1).count():
-        files = files.withColumn("file_name", F.regexp_extract("path", "/dump=([^/]+)/", 1))
-    listed = sorted(r[0] for r in files.select("file_name").distinct().collect())
+    files = list_files(spark, dumps_dir).select("file_name").distinct()
+    listed = sorted(r[0] for r in files.collect())
     stamp = time.strftime("%Y-%m-%d %H:%M:%S")
     run.report_path = write_report(
         report_lines(rollup, listed, run.seconds, stamp), f"{output}/report"

@@ -39,7 +39,8 @@ def read_records(
 ) -> DataFrame:
     """Raw records ``(dump_file, part, row_id, value)`` of every dump below ``path``.
 
-    ``part`` and ``row_id`` together give the order of records in a dump.
+    ``part`` and ``row_id`` together give the order of records in a dump; a stream
+    cannot number its rows, so there ``row_id`` is NULL.
     ``tolerant`` reads on past a file that cannot be decompressed to its end.
     """
     reader = spark.readStream if streaming else spark.read
@@ -61,7 +62,7 @@ def read_records(
     return rows.select(
         name.alias("dump_file"),
         part.alias("part"),
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.lit(None).cast("long") if streaming else F.monotonically_increasing_id()).alias("row_id"),
         "value",
     )
 

@@ -15,16 +15,20 @@ from colophon.functions import patterns as p
 PAGE_END = b"</page>"
 
 
-def list_files(spark: SparkSession, path: str, glob: str = p.DUMP_GLOB) -> DataFrame:
-    """``(path, file_name, length, modificationTime)``; contents are never read."""
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, file_name, length, modificationTime)`` of all bz2 files; none is opened.
+
+    Parts in a folder ``dump=<name>`` go by the name of the dump.
+    """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", p.DUMP_GLOB)
         .option("recursiveFileLookup", "true")
         .load(path)
         .select("path", "length", "modificationTime")
     )
-    return files.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    folder = F.nullif(F.regexp_extract("path", "/dump=([^/]+)/", 1), F.lit(""))
+    return files.withColumn("file_name", F.coalesce(folder, F.element_at(F.split("path", "/"), -1)))
 
 
 def with_codes(files: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def with_codes(files: DataFrame) -> DataFrame:
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Inventory ``(path, file_name, language, dump_date, length)`` of a dump folder."""
-    files = with_codes(list_files(spark, path, p.INVENTORY_GLOB))
+    files = with_codes(list_files(spark, path).filter(F.col("file_name").rlike(p.INVENTORY_NAME)))
     return files.select("path", "file_name", "language", "dump_date", "length")
 
 
@@ -49,18 +53,17 @@ def _first_pages(batches: Iterator[pd.DataFrame], pages: int) -> Iterator[pd.Dat
     for batch in batches:
         heads = []
         for path in batch["path"]:
-            filesystem, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
-                                                       if not path.startswith("file:///")
-                                                       else path)
+            # Spark writes file:/x where other tools want file:///x.
+            uri = f"file://{path[5:]}" if path.startswith("file:/") and path[6] != "/" else path
+            source, inner = fs.FileSystem.from_uri(uri)
             head = bytearray()
-            with filesystem.open_input_stream(inner, compression="bz2") as stream:
+            with source.open_input_stream(inner, compression="bz2") as stream:
                 while head.count(PAGE_END) < pages and (block := stream.read(1 << 16)):
                     head += block
             cut = bytes(head).split(PAGE_END)
-            kept = PAGE_END.join(cut[:pages]) + (PAGE_END if len(cut) > pages else b"")
-            if len(cut) <= pages:
-                kept = bytes(head)
-            heads.append(kept.decode("utf-8", "replace"))
+            if len(cut) > pages:
+                cut = [*cut[:pages], b""]
+            heads.append(PAGE_END.join(cut).decode("utf-8", "replace"))
         yield batch.assign(head=heads)
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colophon.workspace import new_folder
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -108,11 +110,50 @@ def write_dumps(pages: DataFrame, path: str, order: str = "page_id") -> str:
     name = F.concat("language", F.lit(f"wiki-{DUMP_DATE}-pages-articles-multistream.xml.bz2"))
     (
         body.unionByName(frame).unionByName(end)
-        .repartitionByRange("language", "at", "key")
-        .sortWithinPartitions("language", "at", "key")
-        .select(name.alias("dump"), "xml")
+        .withColumn("dump", name)
+        .repartitionByRange("dump", "at", "key")
+        .sortWithinPartitions("dump", "at", "key")
+        .select("dump", "xml")
         .write.partitionBy("dump")
         .option("compression", "bzip2")
         .text(path)
     )
     return path
+
+
+PAGE_KINDS = f"""
+select page_id, language,
+ case when page_id % 19 = 0 then '' else title end as title,
+ case page_id % 7 when 0 then '1' when 1 then '10' else '0' end as ns,
+ page_id % 11 = 0 as redirect,
+ case when page_id % 13 = 0 then '' else text end as text
+from ({ARTICLES}) a
+"""
+
+DUMP_PAGES = f"""
+select page_id, language, title, text,
+ case page_id % 7 when 0 then '1' else '0' end as ns, page_id % 11 = 0 as redirect
+from ({ARTICLES}) a
+"""
+
+# What a reader must return of the dumps written from DUMP_PAGES.
+DUMP_ARTICLES = f"""
+select page_id, language, title, text from ({ARTICLES}) a
+where page_id % 7 <> 0 and page_id % 11 <> 0
+"""
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def dumps(spark: SparkSession, sf_dir: str, damaged: str = "") -> str:
+    """Dumps made from the articles, written once per session and kind.
+
+    ``damaged`` is an SQL condition for pages to be written malformed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, damaged)
+    if key not in _written:
+        pages = sql(spark, sf_dir, DUMP_PAGES, "orders", "documents")
+        if damaged:
+            pages = pages.withColumn("damaged", F.expr(damaged))
+        _written[key] = write_dumps(pages, new_folder(spark, "dumps"))
+    return _written[key]

@@ -35,7 +35,10 @@ _CHECK = checks("normalized")
 VALID = f"case length(normalized) when 10 then {_CHECK['isbn10']} when 13 then {_CHECK['isbn13']} else false end"
 FORMAT = "case length(normalized) when 10 then 'ISBN-10' when 13 then 'ISBN-13' else concat('Invalid (', length(normalized), ' digits)') end"
 
-CANDIDATES = rf"""{ARTICLES},
+def candidates(context: int = 50, proximity: int = 6) -> str:
+    """CTEs up to ``candidates``: numbers of ISBN shape with what surrounds them."""
+    look = proximity + 4
+    return rf"""{ARTICLES},
 clean as (select page_id, title, language, regexp_replace(text, '{URL}', ' ', 'g') as t from articles),
 matched as (
   select *, regexp_extract_all(t, '{RUN}', 1) as runs, regexp_extract_all(t, '{RUN}', 0) as whole,
@@ -50,19 +53,24 @@ placed as (
   from matched),
 candidates as (
   select *, upper(regexp_replace(isbn, '{SEPARATOR}', '', 'g')) as normalized,
-         substr(t, greatest(start - 10, 0) + 1, least(start, 10)) as before,
-         regexp_replace(substr(t, greatest(start - 50, 0) + 1, least(start, 50) + length(isbn) + 50), '{TRIM}', '', 'g') as context
+         substr(t, greatest(start - {look}, 0) + 1, least(start, {look})) as before,
+         regexp_replace(substr(t, greatest(start - {context}, 0) + 1, least(start, {context}) + length(isbn) + {context}), '{TRIM}', '', 'g') as context
   from placed
   where regexp_full_match(upper(regexp_replace(isbn, '{SEPARATOR}', '', 'g')), '[0-9]{{9}}[0-9X]|[0-9]{{13}}'))"""
 
-HITS = rf"""{CANDIDATES},
+def hits(context: int = 50, proximity: int = 6) -> str:
+    """CTEs up to ``hits``: the candidates with the keyword in reach."""
+    return rf"""{candidates(context, proximity)},
 hits as (
   select page_id, language, title,
          concat('https://', language, '.wikipedia.org/wiki/', replace(title, ' ', '_')) as url,
          cast(row_number() over (partition by page_id order by start) - 1 as integer) as k,
          isbn, normalized, {FORMAT} as format, context, cast(start as integer) as start, {VALID} as is_valid,
          regexp_replace(isbn, '{SEPARATOR}', '', 'g') as unique_form
-  from candidates where contains(lower(before), 'isbn'))"""
+  from candidates where regexp_matches(lower(before), '(?s)isbn.{{0,{proximity}}}$'))"""
+
+CANDIDATES = candidates()
+HITS = hits()
 
 RATE = "coalesce(count(*) filter (where is_valid) / nullif(count(*), 0) * 100, 0)"
 
