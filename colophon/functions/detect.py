@@ -79,18 +79,31 @@ def _window_pattern(before: int, after: int) -> str:
     return f"(?U)(?=\\d){p.NOT_AFTER_DIGIT}(?<=(?=({window})){_ANY_CHARACTER}{{{before}}}){run}"
 
 
+def has_isbn_nearby(before: ColumnLike, proximity: int = p.DEFAULT_PROXIMITY) -> Column:
+    """True when ``isbn`` ends at most ``proximity`` characters before the number.
+
+    ``before`` is what precedes the number.  It is cut to the window first and
+    lower-cased after, so letters that grow in lower case count as they do then.
+    """
+    window = F.lower(F.right(as_column(before), F.lit(proximity + len(p.KEYWORD))))
+    # Reversed, the last occurrence comes first and its position is the distance.
+    at = F.instr(F.reverse(window), p.KEYWORD[::-1])
+    return at.between(1, proximity + 1)
+
+
 def candidates(
     text: ColumnLike,
     context_chars: int = p.DEFAULT_CONTEXT,
-    lookback: int = p.DEFAULT_PROXIMITY + len(p.KEYWORD),
+    proximity: int | None = None,
     offsets: bool = False,
 ) -> Column:
-    """``ARRAY<STRUCT<isbn, before, context[, start]>>`` of URL-free ``text``.
+    """``ARRAY<STRUCT<isbn, context[, start]>>`` of URL-free ``text``.
 
-    ``before`` is the ``lookback`` characters ahead of the candidate, padded
-    with blanks at the start of the text; ``context`` is trimmed.
+    All numbers of ISBN shape or, with ``proximity``, those near the keyword.
+    The context is trimmed.
     """
     text = as_column(text)
+    lookback = 0 if proximity is None else proximity + len(p.KEYWORD)
     head = max(context_chars, lookback)
     # Enough to see past the longest run, so that it is cut alike in the window.
     tail = max(context_chars, LONGEST_RUN - SHORTEST_RUN + 1)
@@ -98,39 +111,34 @@ def candidates(
     windows = F.regexp_extract_all(padded, F.lit(_window_pattern(head, tail)), F.lit(1))
     lead = rf"(?U)\A({p.RUN}){p.NOT_BEFORE_WORD}"
 
-    def parts(window: Column, start: Column | None = None) -> Column:
-        ahead = F.substring(window, head + 1, LONGEST_RUN + 1)
-        isbn = F.regexp_extract(ahead, lead, 1)
-        fields = [
-            isbn.alias("isbn"),
-            F.substring(window, head - lookback + 1, lookback).alias("before"),
-            trim_space(
-                F.substr(
-                    window,
-                    F.lit(head - context_chars + 1),
-                    F.length(isbn) + F.lit(2 * context_chars),
-                )
-            ).alias("context"),
-        ]
-        if start is not None:
-            fields.append(start.alias("start"))
-        return F.struct(*fields)
+    def isbn_of(window: Column) -> Column:
+        return F.regexp_extract(F.substring(window, head + 1, LONGEST_RUN + 1), lead, 1)
 
-    if offsets:
-        return F.zip_with(windows, candidate_starts(text), parts)
-    return F.transform(windows, lambda w: parts(w))
+    def context_of(window: Column) -> Column:
+        start = F.lit(head - context_chars + 1)
+        if tail == context_chars:
+            return trim_space(F.substr(window, start))
+        return trim_space(F.substr(window, start, F.length(isbn_of(window)) + 2 * context_chars))
 
+    def is_near(window: Column) -> Column:
+        return has_isbn_nearby(F.substring(window, head - lookback + 1, lookback), proximity)
 
-def has_isbn_nearby(before: ColumnLike, proximity: int = p.DEFAULT_PROXIMITY) -> Column:
-    """True when ``isbn`` ends at most ``proximity`` characters before the number.
+    def parts(window: Column, *start: Column) -> Column:
+        fields = [isbn_of(window).alias("isbn"), context_of(window).alias("context")]
+        return F.struct(*fields, *(s.alias("start") for s in start))
 
-    ``before`` is what precedes the number.  It is cut to the window first and
-    lower-cased after, so letters that grow in lower case count as they do then.
-    """
-    window = F.lower(F.right(as_column(before), F.lit(proximity + len(p.KEYWORD))))
-    # Reversed, the last occurrence comes first and its position is the distance.
-    at = F.instr(F.reverse(window), p.KEYWORD[::-1])
-    return at.between(1, proximity + 1)
+    if offsets:
+        every = F.zip_with(
+            windows,
+            candidate_starts(text),
+            lambda w, s: F.struct(w.alias("window"), s.alias("start")),
+        )
+        near = every if proximity is None else F.filter(every, lambda c: is_near(c["window"]))
+        found = F.transform(near, lambda c: parts(c["window"], c["start"]))
+    else:
+        near = windows if proximity is None else F.filter(windows, is_near)
+        found = F.transform(near, lambda w: parts(w))
+    return F.filter(found, lambda c: is_isbn_shaped(c["isbn"]))
 
 
 def may_hold_isbn(text: ColumnLike) -> Column:
@@ -151,17 +159,9 @@ def find_potential_isbns(
     """
     text = as_column(text)
 
-    def keep(c: Column) -> Column:
-        return has_isbn_nearby(c["before"], proximity) & is_isbn_shaped(c["isbn"])
-
-    def public(c: Column) -> Column:
-        names = ("isbn", "context", "start") if offsets else ("isbn", "context")
-        return F.struct(*(c[n].alias(n) for n in names))
+    clean = strip_urls(text)
 
-    def found_in(clean: Column) -> Column:
-        every = candidates(clean, context_chars, proximity + len(p.KEYWORD), offsets)
-        return F.transform(F.filter(every, keep), public)
+    def found_in(bound: Column) -> Column:
+        return candidates(bound, context_chars, proximity, offsets)
 
-    clean = strip_urls(text)
-    found = let(clean, found_in) if offsets else found_in(clean)
-    return F.when(may_hold_isbn(text), found)
+    return F.when(may_hold_isbn(text), let(clean, found_in) if offsets else found_in(clean))

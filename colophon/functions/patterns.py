@@ -16,7 +16,6 @@ NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 CANDIDATE = rf"(?U){NOT_AFTER_DIGIT}({RUN}){NOT_BEFORE_WORD}"
 
 SEPARATORS = r"(?U)[-\s\x1c-\x1f]"
-OUTER_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 SHAPE = r"\A(?:[0-9]{9}[0-9X]|[0-9]{13})\z"
 SHAPE_10 = r"\A[0-9]{9}[0-9X]\z"
 SHAPE_13 = r"\A[0-9]{13}\z"

@@ -24,6 +24,7 @@ def _non_ascii_digits() -> tuple[str, str]:
 
 
 DIGITS_FROM, DIGITS_TO = _non_ascii_digits()
+WHITE_SPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
 
 def strip_urls(text: ColumnLike) -> Column:
@@ -52,4 +53,4 @@ def fold_digits(text: ColumnLike) -> Column:
 
 def trim_space(text: ColumnLike) -> Column:
     """Strip Unicode white space at both ends (``trim`` knows only the blank)."""
-    return F.regexp_replace(as_column(text), F.lit(p.OUTER_SPACE), F.lit(""))
+    return F.btrim(as_column(text), F.lit(WHITE_SPACE))

@@ -74,20 +74,14 @@ def find_isbns(
 
 
 def find_candidates(
-    articles: DataFrame,
-    text_col: str = "text",
-    context: int = p.DEFAULT_CONTEXT,
-    lookback: int = p.DEFAULT_PROXIMITY + len(p.KEYWORD),
+    articles: DataFrame, text_col: str = "text", context: int = p.DEFAULT_CONTEXT
 ) -> DataFrame:
     """Every number of ISBN shape, near the keyword or not, with its offset."""
     kept = _without(articles, text_col)
     clean = articles.select(*kept, C.strip_urls(text_col).alias("clean"))
-    every = F.filter(
-        C.candidates("clean", context, lookback, offsets=True),
-        lambda c: C.is_isbn_shaped(c["isbn"]),
-    )
+    every = C.candidates("clean", context, offsets=True)
     rows = clean.select(*kept, F.posexplode(every).alias("k", "hit"))
-    return rows.select(*kept, "k", "hit.isbn", "hit.before", "hit.context", "hit.start")
+    return rows.select(*kept, "k", "hit.*")
 
 
 def article_results(
