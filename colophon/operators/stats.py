@@ -9,7 +9,7 @@ and neither a dominant language nor a dominant ISBN ends up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from colophon import functions as C
@@ -175,19 +175,20 @@ def attach_article_counts(breakdown: DataFrame, counts: DataFrame) -> DataFrame:
 def failure_counts(failed: DataFrame) -> DataFrame:
     """Failures in total, by format and by language: ``(dimension, value, failed)``.
 
-    Grouping sets multiply their input, so they run over the counted pairs.
+    All three are sums over the counted pairs; the branches share their shuffle,
+    so the failures are read once.
     """
     pairs = failed.groupBy("format", "language").agg(F.count(F.lit(1)).alias("n"))
-    fmt, lang = F.col("format"), F.col("language")
-    sets = pairs.groupingSets([[fmt], [lang], []], fmt, lang).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("failed"), F.grouping_id().alias("gid")
-    )
-    # Grouping id bits: 1 for a column that is summed over, format first.
-    dimension = (
-        F.when(F.col("gid") == 1, "format").when(F.col("gid") == 2, "language").otherwise("total")
+
+    def counted(dimension: str, value: Column, rows: GroupedData | DataFrame) -> DataFrame:
+        sums = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failed"))
+        return sums.select(F.lit(dimension).alias("dimension"), value.alias("value"), "failed")
+
+    return (
+        counted("total", F.lit(None).cast("string"), pairs)
+        .unionByName(counted("format", F.col("format"), pairs.groupBy("format")))
+        .unionByName(counted("language", F.col("language"), pairs.groupBy("language")))
     )
-    value = F.when(F.col("gid") == 1, fmt).when(F.col("gid") == 2, lang)
-    return sets.select(dimension.alias("dimension"), value.alias("value"), "failed")
 
 
 def top_failing_articles(

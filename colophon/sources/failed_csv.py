@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +34,28 @@ def write_failed_csv(
 def read_failed_csv(spark: SparkSession, path: str) -> DataFrame:
     """The six columns by name, plus ``file`` and ``row_id``, the order of rows.
 
-    A column that the header lacks is filled with its fallback.
+    A column that the header lacks is filled with its fallback; a table that
+    does not exist has no rows.
     """
-    rows = (
-        spark.read.options(**QUOTING, **KEEP_SPACE)
-        .option("multiLine", "true")
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    try:
+        rows = (
+            spark.read.options(**QUOTING, **KEEP_SPACE)
+            .option("multiLine", "true")
+            .option("emptyValue", "")
+            .csv(path)
+        )
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        names = ", ".join(f"{c} STRING" for c in (*p.FAILED_COLUMNS, "file"))
+        return spark.createDataFrame([], f"{names}, row_id LONG")
     fallback = {
         "article_title": p.UNKNOWN_TITLE,
         "format": p.UNKNOWN_FORMAT,
         "language": p.UNKNOWN_LANGUAGE,
     }
     columns = [
-        F.col(c) if c in rows.columns else F.lit(fallback.get(c)).cast("string").alias(c)
+        F.coalesce(c, F.lit("")).alias(c) if c in rows.columns else F.lit(fallback.get(c)).cast("string").alias(c)
         for c in p.FAILED_COLUMNS
     ]
     return rows.select(

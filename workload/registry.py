@@ -449,10 +449,13 @@ def articles_per_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.articles_processed(articles, "dump_file", "language")
 
 
-DAMAGED = "language = 'fr' and page_id % 1000 = 3"
+DAMAGED = "language = 'fr' and page_id % 100 = 5"
 
 
-@query(f"select language, title from ({W.DUMP_ARTICLES}) a where language <> 'fr'")
+@query(
+    f"""select language, title from ({W.DUMP_ARTICLES}) a
+    where language not in (select language from ({W.ARTICLES}) b where {DAMAGED})"""
+)
 def drop_failed_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = W.dumps(spark, sf_dir, DAMAGED)
     return D.read_articles(spark, path, on_error="drop_dump").select("language", "title")
