@@ -15,11 +15,11 @@ NOT_AFTER_DIGIT = r"(?<![0-9])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 CANDIDATE = rf"(?U){NOT_AFTER_DIGIT}({RUN}){NOT_BEFORE_WORD}"
 
-SEPARATORS = r"(?U)[-\s\x1c-\x1f]"
 SHAPE = r"\A(?:[0-9]{9}[0-9X]|[0-9]{13})\z"
 SHAPE_10 = r"\A[0-9]{9}[0-9X]\z"
 SHAPE_13 = r"\A[0-9]{13}\z"
 KEYWORD = "isbn"
+KEYWORD_ANY_CASE = "[iI][sS][bB][nN]"
 
 DEFAULT_CONTEXT = 50
 DEFAULT_PROXIMITY = 6

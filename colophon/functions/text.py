@@ -25,6 +25,7 @@ def _non_ascii_digits() -> tuple[str, str]:
 
 DIGITS_FROM, DIGITS_TO = _non_ascii_digits()
 WHITE_SPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+SEPARATORS = "-" + WHITE_SPACE
 
 
 def strip_urls(text: ColumnLike) -> Column:
@@ -36,7 +37,7 @@ def strip_urls(text: ColumnLike) -> Column:
 
 def strip_separators(isbn: ColumnLike) -> Column:
     """Drop hyphens and white space, keep the case of ``x`` (report uniques)."""
-    return F.regexp_replace(as_column(isbn), F.lit(p.SEPARATORS), F.lit(""))
+    return F.translate(as_column(isbn), SEPARATORS, "")
 
 
 def normalize_isbn(isbn: ColumnLike) -> Column:
@@ -46,9 +47,12 @@ def normalize_isbn(isbn: ColumnLike) -> Column:
 
 def fold_digits(text: ColumnLike) -> Column:
     """Map decimal digits of any script to 0-9."""
-    text = as_column(text)
-    is_ascii = F.octet_length(text) == F.length(text)
-    return F.when(is_ascii, text).otherwise(F.translate(text, DIGITS_FROM, DIGITS_TO))
+    return F.translate(as_column(text), DIGITS_FROM, DIGITS_TO)
+
+
+def bare_isbn(isbn: ColumnLike) -> Column:
+    """Only ASCII digits and X where there were digits and x; separators dropped."""
+    return F.translate(as_column(isbn), DIGITS_FROM + "x" + SEPARATORS, DIGITS_TO + "X")
 
 
 def trim_space(text: ColumnLike) -> Column:

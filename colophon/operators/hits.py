@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon import functions as C
 from colophon.functions import patterns as p
+from colophon.operators.once import compute_once
 
 HIT_COLUMNS = (
     "language", "title", "url", "k", "isbn", "normalized", "format", "context", "is_valid",
@@ -33,25 +34,39 @@ def scan_articles(
     return articles.select(*_without(articles, text_col), found.alias("found"))
 
 
-def _hit_fields(hit: Column, offsets: bool) -> list[Column]:
-    isbn = hit["isbn"]
-    fields = [
-        isbn.alias("isbn"),
-        C.normalize_isbn(isbn).alias("normalized"),
-        C.isbn_format(isbn).alias("format"),
-        hit["context"].alias("context"),
-    ]
-    if offsets:
-        fields.append(hit["start"].alias("start"))
-    fields.append(C.validate_isbn(isbn).alias("is_valid"))
-    return fields
+def with_checks(hits: DataFrame) -> DataFrame:
+    """Add ``format`` and ``is_valid`` to rows with an ``isbn``.
 
+    The steps are columns of their own, so each is computed once, and so is the
+    result, on which failures are filtered.
+    """
+    steps = hits.withColumn("bare", C.bare_isbn("isbn")).withColumn("number", C.isbn_number("bare"))
+    return compute_once(
+        steps,
+        C.format_of_length(F.length("bare")).alias("format"),
+        C.isbn_holds("bare", "number").alias("is_valid"),
+    ).drop("bare", "number")
+
+
+def _with_labels(hits: DataFrame, kept: list[str], offsets: bool) -> DataFrame:
+    return with_checks(hits).select(
+        *kept,
+        "k",
+        "isbn",
+        C.normalize_isbn("isbn").alias("normalized"),
+        "format",
+        "context",
+        *(["start"] if offsets else []),
+        "is_valid",
+    )
 
-def explode_found(scanned: DataFrame, offsets: bool = False) -> DataFrame:
+
+def explode_found(scanned: DataFrame) -> DataFrame:
     """One row per hit, ``k`` counting the hits of an article in text order."""
     kept = _without(scanned, "found")
     rows = scanned.select(*kept, F.posexplode("found").alias("k", "hit"))
-    return rows.select(*kept, "k", *_hit_fields(F.col("hit"), offsets))
+    hits = rows.select(*kept, "k", "hit.*")
+    return _with_labels(hits, kept, "start" in hits.columns)
 
 
 def find_isbns(
@@ -65,23 +80,25 @@ def find_isbns(
     ``normalized``, ``format``, ``context``, ``is_valid`` and, with ``offsets``,
     ``start``.  One stage, no shuffle.
     """
-    found = C.find_potential_isbns(text_col, context, proximity, offsets)
+    windows = C.Windows(context, proximity)
+    found = C.hit_windows(text_col, windows, offsets)
     kept = _without(articles, text_col)
     # Exploding the expression itself, rather than a column that holds it,
     # keeps the optimizer from repeating it in a size filter below.
     rows = articles.select(*kept, F.posexplode(found).alias("k", "hit"))
-    return rows.select(*kept, "k", *_hit_fields(F.col("hit"), offsets))
+    hits = rows.select(*kept, "k", *windows.fields(F.col("hit"), offsets))
+    return _with_labels(hits, kept, offsets)
 
 
 def find_candidates(
     articles: DataFrame, text_col: str = "text", context: int = p.DEFAULT_CONTEXT
 ) -> DataFrame:
     """Every number of ISBN shape, near the keyword or not, with its offset."""
+    windows = C.Windows(context)
     kept = _without(articles, text_col)
     clean = articles.select(*kept, C.strip_urls(text_col).alias("clean"))
-    every = C.candidates("clean", context, offsets=True)
-    rows = clean.select(*kept, F.posexplode(every).alias("k", "hit"))
-    return rows.select(*kept, "k", "hit.*")
+    rows = clean.select(*kept, F.posexplode(windows.with_starts(F.col("clean"))).alias("k", "hit"))
+    return rows.select(*kept, "k", *windows.fields(F.col("hit"), True))
 
 
 def article_results(
@@ -100,12 +117,15 @@ def article_results(
 
 def results_of(scanned: DataFrame) -> DataFrame:
     """Per-article results from the ``found`` arrays, in text order, without a shuffle."""
-    rows = scanned.filter(F.size("found") > 0)
+    kept = _without(scanned, "found")
+    rows = scanned.filter(F.size("found") > 0).select(
+        *kept, "found", F.transform("found", lambda h: C.validate_isbn(h["isbn"])).alias("ok")
+    )
     return rows.select(
-        *_without(scanned, "found"),
+        *kept,
         F.size("found").alias("total_found"),
-        F.filter("found", lambda h: C.validate_isbn(h["isbn"])).alias("valid_isbns"),
-        F.filter("found", lambda h: ~C.validate_isbn(h["isbn"])).alias("invalid_isbns"),
+        F.filter("found", lambda _, i: F.get("ok", i)).alias("valid_isbns"),
+        F.filter("found", lambda _, i: ~F.get("ok", i)).alias("invalid_isbns"),
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colophon import functions as C
 from colophon.functions import patterns as p
+from colophon.operators.hits import with_checks
 
 ROLLUP_KEYS = ("language", "format", "is_valid", "unique_form")
 
@@ -35,14 +36,15 @@ def rollup_articles(scanned: DataFrame) -> DataFrame:
     number of articles processed as well.
     """
     rows = scanned.select("language", F.posexplode_outer("found").alias("k", "hit"))
-    isbn = F.col("hit.isbn")
+    hits = with_checks(rows.select("language", "k", F.col("hit.isbn").alias("isbn")))
+    is_hit = F.col("k").isNotNull()
     return _rollup(
-        rows.select(
+        hits.select(
             "language",
             "k",
-            F.when(F.col("k").isNotNull(), C.isbn_format(isbn)).alias("format"),
-            F.when(F.col("k").isNotNull(), C.validate_isbn(isbn)).alias("is_valid"),
-            C.strip_separators(isbn).alias("unique_form"),
+            F.when(is_hit, F.col("format")).alias("format"),
+            F.when(is_hit, F.col("is_valid")).alias("is_valid"),
+            C.strip_separators("isbn").alias("unique_form"),
         )
     )
 

@@ -194,6 +194,8 @@ def run_audit(
         report_lines(rollup, listed, run.seconds, stamp), f"{output}/report"
     )
     if totals["invalid"]:
-        run.csv_path = write_failed_csv(run.failed(), f"{output}/failed_csv", LEDGER_ORDER)
+        run.csv_path = write_failed_csv(
+            run.failed(), f"{output}/failed_csv", LEDGER_ORDER, stored=True
+        )
     return run
 

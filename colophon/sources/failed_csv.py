@@ -7,22 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import patterns as p
+from colophon.workspace import store
 
 QUOTING = {"header": "true", "escape": '"'}
 KEEP_SPACE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_failed_csv(
-    failed: DataFrame, path: str, order: tuple[str, ...] = (), rows_per_file: int = 1_000_000
+    failed: DataFrame,
+    path: str,
+    order: tuple[str, ...] = (),
+    rows_per_file: int = 1_000_000,
+    stored: bool = False,
 ) -> str:
     """Write the six columns with a header; ``order`` keeps the order of the dumps.
 
-    Quoted line breaks make a CSV file unsplittable for readers, so files are
+    Sorting reads its input twice, to sample it and to move it, so failures that
+    are not ``stored`` yet are stored first and the text is searched once.  Quoted line breaks make a CSV file unsplittable for readers, so files are
     kept small enough to be one task each.
     """
-    rows = failed.orderBy(*order) if order else failed
+    if order:
+        failed = (failed if stored else store(failed, "failed")).orderBy(*order)
     (
-        rows.select(*p.FAILED_COLUMNS)
+        failed.select(*p.FAILED_COLUMNS)
         .write.options(**QUOTING, **KEEP_SPACE)
         .option("quoteAll", "true")
         .option("maxRecordsPerFile", rows_per_file)

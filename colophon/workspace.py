@@ -53,3 +53,14 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or new_folder(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out an input that comes in fewer pieces than there are cores.
+
+    Searching text is bound by the processor, and a file with one large row group
+    is one task.  Inputs of ordinary size have more pieces than cores and are
+    left as they are, so nothing large is ever moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

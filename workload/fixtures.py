@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.workspace import new_folder
+from colophon.workspace import new_folder, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -70,7 +70,7 @@ def sql(spark: SparkSession, sf_dir: str, statement: str, *tables: str) -> DataF
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, title, language, text)``."""
-    return sql(spark, sf_dir, ARTICLES, "orders", "documents")
+    return spread(sql(spark, sf_dir, ARTICLES, "orders", "documents"), "page_id")
 
 
 def _escaped(column: str) -> F.Column:
