@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", name: str = "colophon", **settings: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
         .config("spark.driver.memory", "8g")
+        # Opening a local file costs next to nothing, so small inputs may be cut finely.
+        .config("spark.sql.files.openCostInBytes", str(256 * 1024))
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -55,12 +57,19 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the result as the optimizer estimates it from the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out an input that comes in fewer pieces than there are cores.
+    """Share out an input too small to give every core a full split.
 
-    Searching text is bound by the processor, and a file with one large row group
-    is one task.  Inputs of ordinary size have more pieces than cores and are
-    left as they are, so nothing large is ever moved for this.
+    Searching text is bound by the processor, and a small file, whatever it is cut
+    into, may hold a single row group and so be one task.  What is moved is
+    bounded by one split per core; anything larger is left as it lies.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    context = df.sparkSession.sparkContext
+    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
+    cores = context.defaultParallelism
+    return df.repartition(cores, *keys) if input_bytes(df) < cores * int(split) else df

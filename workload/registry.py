@@ -20,7 +20,7 @@ from colophon.sources.failed_csv import read_failed_csv, write_failed_csv
 from colophon.sources.inventory import read_heads, read_inventory, with_codes
 from colophon.sources.reports import pass_rates, read_reports, write_report
 from colophon.streaming.incremental import append_new_hits, update_article_counts
-from colophon.workspace import new_folder
+from colophon.workspace import new_folder, spread
 from workload import oracle as O
 from workload import fixtures as W
 
@@ -155,7 +155,7 @@ CLEANED = rf"""(select *, regexp_replace(isbn, '{O.SEPARATOR}', '', 'g') as stri
 
 
 def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.sql(spark, sf_dir, SPELLINGS, "lineitem")
+    return spread(W.sql(spark, sf_dir, SPELLINGS, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query(f"select l_orderkey, l_linenumber, normalized, stripped from {CLEANED} c")
@@ -187,12 +187,23 @@ def isbn13_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     regexp_full_match(normalized, '[0-9]{{9}}[0-9X]|[0-9]{{13}}') as shaped from {CLEANED} c"""
 )
 def isbn_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spellings(spark, sf_dir).select(
+    checked = H.with_checks(spellings(spark, sf_dir))
+    return checked.select(
+        "l_orderkey", "l_linenumber", "is_valid", "format", C.is_isbn_shaped("isbn").alias("shaped")
+    )
+
+
+@query(
+    f"""select l_orderkey, l_linenumber, {O.VALID} as is_valid, {O.FORMAT} as format from {CLEANED} c
+    where regexp_full_match(normalized, '[0-9]{{9}}[0-9X]|[0-9]{{13}}')"""
+)
+def isbn_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same checks as plain Column functions."""
+    return spellings(spark, sf_dir).filter(C.is_isbn_shaped("isbn")).select(
         "l_orderkey",
         "l_linenumber",
         C.validate_isbn("isbn").alias("is_valid"),
         C.isbn_format("isbn").alias("format"),
-        C.is_isbn_shaped("isbn").alias("shaped"),
     )
 
 
