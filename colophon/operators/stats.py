@@ -214,6 +214,7 @@ def run_speed(articles: int, seconds: float, like: DataFrame) -> DataFrame:
     )
 
 
+# -- fixed values: the readable summary -----------------------------------------
 SUMMARY = (
     "\nISBN Validation Summary\n"
     "=======================\n"
@@ -228,6 +229,7 @@ SUMMARY = (
     "Articles processed: %s\n"
 )
 NOTHING_FOUND = "No ISBNs found"
+# -- end of fixed values --------------------------------------------------------
 
 
 def statistics_summary(rollup: DataFrame) -> DataFrame:

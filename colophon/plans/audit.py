@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon import functions as C
@@ -20,7 +20,7 @@ from colophon.operators import stats as S
 from colophon.sources import dumps as D
 from colophon.sources.failed_csv import write_failed_csv
 from colophon.sources.inventory import list_files
-from colophon.sources.reports import write_report
+from colophon.sources.reports import report_lines, write_report
 from colophon.workspace import store
 
 LEDGER_ORDER = (*D.POSITION, "k")
@@ -74,85 +74,6 @@ def ledger_of(
     )
 
 
-def report_lines(
-    rollup: DataFrame,
-    dump_names: list[str],
-    seconds: float,
-    run_date: str,
-) -> DataFrame:
-    """``(position, line)`` of the text report; several languages get a breakdown."""
-    t = S.totals(rollup)
-    rate = C.speed("articles_processed", F.lit(float(seconds)))
-
-    def line(text: str, *values: Column) -> Column:
-        return F.format_string(text, *values) if values else F.lit(text)
-
-    n = C.thousands
-    head = [
-        line("Wikipedia ISBN Extraction Report"),
-        line("=" * 60),
-        line(""),
-        line("Run Date: %s", F.lit(run_date)),
-        line("Processing Time: %s seconds", C.fixed(F.lit(float(seconds)), 1)),
-        line("Processing Speed: %s articles/second", F.coalesce(C.fixed(rate, 1), F.lit("n/a"))),
-        line(""),
-        line("Wikis Processed: %s", F.lit(len(dump_names)).cast("string")),
-        line("Dump Files:"),
-        *(line("  - %s", F.lit(name)) for name in dump_names),
-        line(""),
-        line("Article Statistics:"),
-        line("  Total articles processed: %s", n("articles_processed")),
-        line("  Articles with ISBNs: %s", n("articles_with_isbn")),
-        line("  Articles without ISBNs: %s", n("articles_without_isbn")),
-        line(""),
-        line("ISBN Statistics:"),
-        line("  Total ISBNs found: %s", n("total")),
-        line("  Valid ISBNs (checksum passed): %s", n("valid")),
-        line("  Invalid ISBNs (checksum failed): %s", n("invalid")),
-        line("  Pass rate: %s%%", C.fixed("pass_rate", 2)),
-        line(""),
-        line("Unique ISBN Statistics:"),
-        line("  Unique valid ISBNs: %s", n("unique_valid")),
-        line("  Unique invalid ISBNs: %s", n("unique_invalid")),
-        line(""),
-        line("Format Breakdown:"),
-        line("  ISBN-10 (valid): %s", n("isbn10_valid")),
-        line("  ISBN-10 (invalid): %s", n("isbn10_invalid")),
-        line("  ISBN-13 (valid): %s", n("isbn13_valid")),
-        line("  ISBN-13 (invalid): %s", n("isbn13_invalid")),
-        line(""),
-    ]
-    top = t.select(F.posexplode(F.array(*head)).alias("i", "line")).select(
-        F.struct(F.lit(0).alias("section"), F.lit("").alias("language"), "i").alias("position"),
-        "line",
-    )
-
-    block = [
-        line(""),
-        line("  %s:", C.language_label("language")),
-        line("    Total articles processed: %s", n("articles_processed")),
-        line("    Articles with ISBNs: %s", n("articles_with_isbn")),
-        line("    Total ISBNs: %s", n("total")),
-        line("    Valid ISBNs: %s", n("valid")),
-        line("    Invalid ISBNs: %s", n("invalid")),
-        line("    Pass rate: %s%%", C.fixed("pass_rate", 2)),
-        line("    Unique valid: %s", n("unique_valid")),
-        line("    Unique invalid: %s", n("unique_invalid")),
-    ]
-    languages = S.language_breakdown(rollup)
-    if languages.limit(2).count() < 2:
-        return top
-    title = rollup.sparkSession.range(1).select(
-        F.struct(F.lit(1).alias("section"), F.lit("").alias("language"), F.lit(0).alias("i"))
-        .alias("position"),
-        F.lit(p.REPORT_SECTION).alias("line"),
-    )
-    body = languages.select("language", F.posexplode(F.array(*block)).alias("i", "line")).select(
-        F.struct(F.lit(2).alias("section"), "language", "i").alias("position"), "line"
-    )
-    return top.unionByName(title).unionByName(body)
-
-
 def run_audit(
     spark: SparkSession,
     dumps_dir: str,
@@ -190,9 +111,10 @@ def run_audit(
     files = list_files(spark, dumps_dir).select("file_name").distinct()
     listed = sorted(r[0] for r in files.collect())
     stamp = time.strftime("%Y-%m-%d %H:%M:%S")
-    run.report_path = write_report(
-        report_lines(rollup, listed, run.seconds, stamp), f"{output}/report"
+    lines = report_lines(
+        S.totals(rollup), S.language_breakdown(rollup), listed, run.seconds, stamp
     )
+    run.report_path = write_report(lines, f"{output}/report")
     if totals["invalid"]:
         run.csv_path = write_failed_csv(
             run.failed(), f"{output}/failed_csv", LEDGER_ORDER, stored=True

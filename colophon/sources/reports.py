@@ -2,13 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import patterns as p
+from colophon.functions.labels import fixed, language_label, speed, thousands
 from colophon.functions.text import as_column, ColumnLike
 
 
+# -- fixed values: the lines of a report, with the metric each one shows ---------
+TITLE = ("Wikipedia ISBN Extraction Report", "=" * 60, "")
+RUN = (
+    ("Run Date: %s", "run_date"),
+    ("Processing Time: %s seconds", "seconds"),
+    ("Processing Speed: %s articles/second", "speed"),
+    ("", None),
+    ("Wikis Processed: %s", "dumps"),
+    ("Dump Files:", None),
+)
+DUMP = "  - %s"
+TOTALS = (
+    ("", None),
+    ("Article Statistics:", None),
+    ("  Total articles processed: %s", "articles_processed"),
+    ("  Articles with ISBNs: %s", "articles_with_isbn"),
+    ("  Articles without ISBNs: %s", "articles_without_isbn"),
+    ("", None),
+    ("ISBN Statistics:", None),
+    ("  Total ISBNs found: %s", "total"),
+    ("  Valid ISBNs (checksum passed): %s", "valid"),
+    ("  Invalid ISBNs (checksum failed): %s", "invalid"),
+    ("  Pass rate: %s%%", "pass_rate"),
+    ("", None),
+    ("Unique ISBN Statistics:", None),
+    ("  Unique valid ISBNs: %s", "unique_valid"),
+    ("  Unique invalid ISBNs: %s", "unique_invalid"),
+    ("", None),
+    ("Format Breakdown:", None),
+    ("  ISBN-10 (valid): %s", "isbn10_valid"),
+    ("  ISBN-10 (invalid): %s", "isbn10_invalid"),
+    ("  ISBN-13 (valid): %s", "isbn13_valid"),
+    ("  ISBN-13 (invalid): %s", "isbn13_invalid"),
+    ("", None),
+)
+LANGUAGE = (
+    ("", None),
+    ("  %s:", "label"),
+    ("    Total articles processed: %s", "articles_processed"),
+    ("    Articles with ISBNs: %s", "articles_with_isbn"),
+    ("    Total ISBNs: %s", "total"),
+    ("    Valid ISBNs: %s", "valid"),
+    ("    Invalid ISBNs: %s", "invalid"),
+    ("    Pass rate: %s%%", "pass_rate"),
+    ("    Unique valid: %s", "unique_valid"),
+    ("    Unique invalid: %s", "unique_invalid"),
+)
+# -- end of fixed values ------------------------------------------------------------
+
+
+def _lines(rows: DataFrame, section: int, key: Column, lines: list[Column]) -> DataFrame:
+    numbered = rows.select(key.alias("key"), F.posexplode(F.array(*lines)).alias("i", "line"))
+    return numbered.select(F.struct(F.lit(section).alias("section"), "key", "i").alias("position"), "line")
+
+
+def _filled(template: tuple, values: dict[str, Column]) -> list[Column]:
+    return [
+        F.lit(text) if metric is None else F.format_string(text, values[metric])
+        for text, metric in template
+    ]
+
+
+def report_lines(
+    totals: DataFrame, languages: DataFrame, dump_names: list[str], seconds: float, run_date: str
+) -> DataFrame:
+    """``(position, line)`` of the text report.
+
+    ``totals`` is one row; ``languages`` gets a breakdown when there are several.
+    """
+
+    def shown(row: DataFrame) -> dict[str, Column]:
+        counts = {c: thousands(c) for c in row.columns if c not in ("language", "pass_rate")}
+        return {**counts, "pass_rate": fixed("pass_rate", 2)}
+
+    elapsed = F.lit(float(seconds))
+    run = {
+        "run_date": F.lit(run_date),
+        "seconds": fixed(elapsed, 1),
+        "speed": F.coalesce(fixed(speed("articles_processed", elapsed), 1), F.lit("n/a")),
+        "dumps": F.lit(str(len(dump_names))),
+    }
+    top = [
+        *(F.lit(text) for text in TITLE),
+        *_filled(RUN, run),
+        *(F.format_string(DUMP, F.lit(name)) for name in dump_names),
+        *_filled(TOTALS, shown(totals)),
+    ]
+    report = _lines(totals, 0, F.lit(""), top)
+    if languages.limit(2).count() < 2:
+        return report
+    values = {**shown(languages), "label": language_label("language")}
+    one_row = totals.sparkSession.range(1)
+    return report.unionByName(
+        _lines(one_row, 1, F.lit(""), [F.lit(p.REPORT_SECTION)])
+    ).unionByName(_lines(languages, 2, F.col("language"), _filled(LANGUAGE, values)))
+
+
 def write_report(lines: DataFrame, path: str) -> str:
     """Write ``(position, line)`` as one text file.
 
