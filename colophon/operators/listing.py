@@ -49,11 +49,20 @@ def dump_file_name(language: ColumnLike, date: ColumnLike) -> Column:
     return F.concat(as_column(language), F.lit("wiki-"), as_column(date), F.lit(p.DUMP_SUFFIX))
 
 
-def is_usable(language: ColumnLike, date: ColumnLike, html: ColumnLike, is_newest: Column) -> Column:
-    """The page lists the dump file and is finished, or is not the newest one."""
-    html = as_column(html)
-    listed = html.contains(dump_file_name(language, date))
-    return listed & (~F.lower(html).contains(p.IN_PROGRESS) | ~is_newest)
+def page_state(date_pages: DataFrame) -> DataFrame:
+    """What a page of one date says: ``listed``, the dump file is there; ``busy``, it is being made."""
+    html = F.col("html")
+    return date_pages.select(
+        "language",
+        "date",
+        html.contains(dump_file_name("language", "date")).alias("listed"),
+        F.lower(html).contains(p.IN_PROGRESS).alias("busy"),
+    )
+
+
+def is_usable(listed: ColumnLike, busy: ColumnLike, is_newest: ColumnLike) -> Column:
+    """The dump file is listed, and the dump is finished or is not the newest one."""
+    return as_column(listed) & (~as_column(busy) | ~as_column(is_newest))
 
 
 def latest_dump(dates: DataFrame, date_pages: DataFrame) -> DataFrame:
@@ -61,7 +70,7 @@ def latest_dump(dates: DataFrame, date_pages: DataFrame) -> DataFrame:
 
     The rank is limited before the shuffle as well, so a language with very many
     dates sends only its newest ones.  The join then sees at most that many rows
-    per language.
+    per language on one side and two flags per page, not the page, on the other.
     """
     newest_first = Window.partitionBy("language").orderBy(F.desc("date"))
     tried = (
@@ -74,8 +83,8 @@ def latest_dump(dates: DataFrame, date_pages: DataFrame) -> DataFrame:
     newest = tried.withColumn(
         "is_newest", F.col("date") == F.max("date").over(Window.partitionBy("language"))
     )
-    pages = newest.join(date_pages, ["language", "date"])
-    usable = pages.filter(is_usable("language", "date", "html", F.col("is_newest")))
+    pages = newest.join(page_state(date_pages), ["language", "date"])
+    usable = pages.filter(is_usable("listed", "busy", "is_newest"))
     best = usable.groupBy("language").agg(F.max("date").alias("date"))
     name = dump_file_name("language", "date")
     url = F.concat(

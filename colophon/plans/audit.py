@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon import functions as C
@@ -62,15 +62,22 @@ def ledger_of(
     rows = pages.filter(counts | D.is_article())
     scanned = H.scan_articles(rows, "text", context, proximity)
     has_hits = F.size("found") > 0
-    # Names are kept only where they will be reported.
     found = F.explode(F.array("found")).alias("found")
+
+    def if_hit(value: Column, name: str) -> Column:
+        return F.when(has_hits, value).alias(name)
+
+    # Places and names are kept only where they will be reported; the many rows
+    # of articles without a hit are then alike and compress to almost nothing.
     return scanned.select(*D.POSITION, "language", "kind", "title", found).select(
-        *D.POSITION,
+        "dump_file",
+        if_hit(F.col("part"), "part"),
+        if_hit(F.col("row_id"), "row_id"),
         "language",
         "kind",
-        F.when(has_hits, F.col("title")).alias("title"),
-        F.when(has_hits, C.article_url("language", "title")).alias("url"),
-        F.when(has_hits, F.col("found")).alias("found"),
+        if_hit(F.col("title"), "title"),
+        if_hit(C.article_url("language", "title"), "url"),
+        if_hit(F.col("found"), "found"),
     )
 
 

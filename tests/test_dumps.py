@@ -217,3 +217,15 @@ def test_inventory(spark, folder):
     assert sizes["en"] == (folder / EN).stat().st_size
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_each_page_is_parsed_and_searched_once(spark, folder):
+    from colophon.plans.audit import ledger_of
+
+    for mode in D.ON_ERROR:
+        pages = D.parse_pages(D.read_records(spark, str(folder)), mode)
+        for df in (pages, D.keep_articles(pages), ledger_of(pages)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("from_xml(") == 1, plan
+        assert plan.count("regexp_extract_all") == 1
+        assert "Exchange" not in plan
