@@ -51,6 +51,9 @@ class AuditRun:
     def failed(self) -> DataFrame:
         return H.failed_isbns(self.hits(), *LEDGER_ORDER)
 
+    def speed(self) -> DataFrame:
+        return S.run_speed(self.totals["articles_processed"], self.seconds, self.rollup)
+
 
 def ledger_of(
     pages: DataFrame,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -57,6 +58,12 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bytes(setting: str) -> int:
+    """A size setting such as ``134217728b``, ``256m`` or ``1GB`` in bytes."""
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", setting.strip().lower()).groups()
+    return int(number) << (10 * " kmgt".index(unit or " "))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the result as the optimizer estimates it from the files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -69,7 +76,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     into, may hold a single row group and so be one task.  What is moved is
     bounded by one split per core; anything larger is left as it lies.
     """
-    context = df.sparkSession.sparkContext
-    split = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    cores = context.defaultParallelism
-    return df.repartition(cores, *keys) if input_bytes(df) < cores * int(split) else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores, *keys) if input_bytes(df) < cores * split else df

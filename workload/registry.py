@@ -439,6 +439,13 @@ def audit_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_failed_csv(spark, run.csv_path).drop("file", "row_id")
 
 
+@query(f"select count(*) as articles, true as timed from ({W.DUMP_ARTICLES}) a")
+def audit_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles per second of a run; the rate itself differs from run to run."""
+    speed = run_audit(spark, W.dumps(spark, sf_dir)).speed()
+    return speed.select("articles", (F.col("articles_per_second") > 0).alias("timed"))
+
+
 # -- dumps ---------------------------------------------------------------------
 
 
