@@ -8,7 +8,7 @@ Definitions
 * Lines end at ``\\n``.  Blank lines (ASCII white space only) count for nothing: windows
   run over the other lines, compared without the white space at their ends.  A blank
   line goes with a removed run if it lies inside it.
-* Places are ordered by id (null last; fewer characters first, then by character, so that
+* Places are ordered by id (null first; fewer characters first, then by character, so that
   natural numbers keep their order), then by a hash of the text, then by line.
 * Rows that agree in id and text are one document; each such row gets its result.
 * A text of fewer non-blank lines than a window keeps all; null stays null, empty stays empty.
@@ -70,7 +70,7 @@ def repeated_runs(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
     windows = store(line_windows(docs, size), "line-windows")
     often = windows.groupBy("hi", "lo").agg(F.count("*").alias("times")).where("times > 1").select("hi", "lo")
     found = store(windows.join(often, ["hi", "lo"], "left_semi"), "line-repeats")
-    order = F.struct(F.col("id").isNull().alias("none"), F.length("id").alias("digits"), "id", "body", "place")
+    order = F.struct(F.length("id").alias("digits"), "id", "body", "place")
     first = found.groupBy("hi", "lo").agg(F.min(order).alias("first"))
     later = found.join(first, ["hi", "lo"]).where(order != F.col("first"))
     return later.groupBy("id", "body").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
@@ -99,7 +99,7 @@ def remove_repeated_lines(
     runs = repeated_runs(rows.select(F.col(key).alias("id"), F.col(body).alias("body"), F.col(text_col).alias("text")), size)
     spans, total, gone = (fresh([*rows.columns, "n_lines", "n_removed"], x) for x in ("_runs", "_lines", "_gone"))
     runs = runs.select(F.col("id").alias("_r_id"), F.col("body").alias("_r_body"), F.col("runs").alias(spans))
-    same = F.col(key).eqNullSafe(F.col("_r_id")) & F.col(body).eqNullSafe(F.col("_r_body"))
+    same = (F.col(key) == F.col("_r_id")) & (F.col(body) == F.col("_r_body"))
     joined = rows.join(runs, same, "left").drop("_r_id", "_r_body")
     joined = joined.withColumn(total, F.when(F.length(text_col) > 0, F.size(F.split(text_col, "\n", -1))).otherwise(0).cast("long"))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import line_dedup, minhash, mixing
+from colophon.llm import kneser_ney, line_dedup, minhash, mixing, phrase_index
+from colophon.llm.rows import keyed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows and items that occur in each document, and items whose rare terms stand close together."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = phrase_index.contamination(docs, items)
+    near = found.near().groupBy("id", "body").agg(F.count("*").alias("n_near"))
+    rows, key, body = keyed(docs.select("doc_id", "text"), "doc_id", "text")
+    rows = rows.select("doc_id", F.col(key).alias("id"), F.col(body).alias("body"))
+    out = rows.join(found.lengths, ["id", "body"]).join(found.hits, ["id", "body"], "left").join(near, ["id", "body"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    items_text = F.coalesce(F.array_join("items", ","), F.lit(""))
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(items_text, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document before and after removal of repeated three-line windows."""
     cleaned = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
@@ -26,6 +43,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each document under the model of trusted text, and whether it is accepted."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
+    return kneser_ney.judged(docs, labels).drop("text")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
@@ -33,7 +56,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op6_quality": op6_quality,
     "op10_mixing": op10_mixing,
 }
 

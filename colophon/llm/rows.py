@@ -19,8 +19,10 @@ def fresh(taken: Iterable[str], name: str) -> str:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns, and their names: the id as text, and a hash of the text.
 
-    Rows that agree in both are one document to an operator; each keeps its own row.
+    Neither is ever null: an id is written after ``=``, a null id is empty.  Rows that
+    agree in both are one document to an operator; each keeps its own row.
     """
     key = fresh(docs.columns, "_id")
     body = fresh([*docs.columns, key], "_body")
-    return docs.withColumns({key: F.col(id_col).cast("string"), body: F.xxhash64(F.col(text_col))}), key, body
+    written = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return docs.withColumns({key: written, body: F.xxhash64(F.col(text_col))}), key, body

@@ -70,3 +70,25 @@ def repeated_lines(docs: list[tuple[int, str | None]], size: int = 3) -> dict:
         # Touching runs are one, blank lines between them stay.
         out[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], size: int = 10) -> set:
+    cut = lambda text: TERM.findall((text or "").translate(LOWER))
+    windows = defaultdict(set)
+    for item, text in items:
+        terms = cut(text)
+        for k in range(max(1, len(terms) - size + 1) if terms else 0):
+            windows[tuple(terms[k : k + size])].add("" if item is None else str(item))
+    lengths, out = {len(w) for w in windows}, set()
+    for i, text in docs:
+        terms, hit, found = cut(text), set(), set()
+        for n in lengths:
+            for k in range(len(terms) - n + 1):
+                if (w := tuple(terms[k : k + n])) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[w]
+        out.add((i, len(terms), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return out
