@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import kneser_ney, line_dedup, minhash, mixing, phrase_index
+from colophon.llm import kneser_ney, line_dedup, minhash, mixing, phrase_index, toxic_segments
 from colophon.llm.rows import keyed
 
 
@@ -49,6 +49,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judged(docs, labels).drop("text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic; labels of a fifth of the ids are never read."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    model = toxic_segments.train(docs, labels.where(~toxic_segments.held_out(F.col("id"))))
+    found = toxic_segments.score(docs, model)
+    return found.select(
+        F.col("id").alias("doc_id"), toxic_segments.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
@@ -59,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op10_mixing": op10_mixing,
 }
 
