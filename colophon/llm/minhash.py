@@ -42,7 +42,7 @@ PERCENT = 85
 #: Chance at each batch of giving up a pair that is similar enough.
 MISS = 1e-6
 #: Pivots per bucket, by round; the last goes on.
-PIVOTS = (1, 4, 16, 64)
+PIVOTS = (1, 16, 64)
 _CHUNK = 1024
 
 _random = np.random.default_rng(20240501)
@@ -166,8 +166,8 @@ def pivots(members: DataFrame, count: int) -> DataFrame:
     return ranked.where(F.col("place") <= count).select("bucket", "pivot")
 
 
-def linked(sketch: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links (u, v) that connect all class representatives of a component, or None."""
+def linked(sketch: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links (u, v) that connect all class representatives of a component, and their components; or None."""
     active = store(buckets(sketch), "minhash-buckets")
     links, groups, turn = None, None, 0
     while True:
@@ -180,15 +180,15 @@ def linked(sketch: DataFrame, texts: DataFrame) -> DataFrame | None:
             open_ = told.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
             told = store(told.join(open_, "bucket", "left_semi"), "minhash-open")
         if told.isEmpty():
-            return links
+            return links, groups
         heads = store(pivots(told, count), "minhash-pivots")
         tops = heads.join(told.select("bucket", F.col("id").alias("pivot"), F.col("c").alias("d")), ["bucket", "pivot"]) if groups is not None else heads.withColumn("d", F.col("pivot"))
         pairs = told.join(tops, "bucket").where("c <> d").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
         survivors = store(likely(pairs, sketch), "minhash-likely")
         found = store(verified(survivors, texts), "minhash-links")
         links = found if links is None else links.union(found)
-        groups = store(components(links), "minhash-groups")
-        active = store(told.select("bucket", "id").join(heads.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti"), "minhash-rest")
+        groups = components(links)
+        active = told.select("bucket", "id").join(heads.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,12 +200,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.join(one_each, ["id", "same"]).groupBy("id").agg(F.first("signature").alias("signature"))
     reps = store(reps, "minhash-reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    links = linked(reps, texts)
-    of_class = known.join(classes, "same").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    all_links = of_class if links is None else of_class.union(links.select("u", "v"))
-    groups = components(all_links)
-    out = sketch.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    component: Column = F.coalesce("component", "id")
+    links, groups = linked(reps, texts)
+    named = sketch.join(classes, "same", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+    if not known.select("id", "same").distinct().groupBy("id").count().where("count > 1").isEmpty():
+        of_class = named.select(F.col("id").alias("u"), F.col("rep").alias("v")).where("u IS NOT NULL")
+        groups = components(of_class if links is None else of_class.union(links.select("u", "v")))
+    # The least id of a component is that of one of its classes.
+    out = named.withColumn("component", F.lit(None).cast("long")) if groups is None else named.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    component: Column = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),

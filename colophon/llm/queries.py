@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import kneser_ney, line_dedup, minhash, mixing, phrase_index, toxic_segments
+from colophon.llm import kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, toxic_segments
 from colophon.llm.rows import keyed
 
 
@@ -61,6 +61,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal label."""
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op9_embeddings": op9_embeddings,
     "op10_mixing": op10_mixing,
 }
 
