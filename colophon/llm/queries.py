@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, toxic_segments
+from colophon.llm import disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, secret_links, spans, toxic_segments
 from colophon.llm.rows import keyed
 
 
@@ -43,6 +43,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
 
 
+def kind_counts(kinds: tuple[str, ...]) -> list[Column]:
+    """n_<kind> of the column base."""
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(kind) for kind in kinds]
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document, and the words that disclose it."""
+    found = disclosure.sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    base = F.sha2(spans.written(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *kind_counts(disclosure.KINDS), base, spans.written(F.col("spans")).alias("spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of each document under the model of trusted text, and whether it is accepted."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
@@ -61,6 +77,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each document, and weak parts that complement each other."""
+    found = secret_links.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(spans.written(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *kind_counts(secret_links.KINDS), base, spans.written(F.col("spans")).alias("spans"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors of equal label."""
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -75,8 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op5_personal_data": op5_personal_data,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
     "op9_embeddings": op9_embeddings,
     "op10_mixing": op10_mixing,
 }

@@ -92,3 +92,43 @@ def contamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str
                     found |= windows[w]
         out.add((i, len(terms), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(number: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(number)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal(text: str | None) -> list[tuple[str, int, int]]:
+    text, digits = text or "", lambda m: re.sub("[^0-9]", "", m)
+    tests = (
+        ("email", EMAIL, lambda m: True),
+        ("ip", IP, lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", CARD, lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", PHONE, lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    return [(kind, m.start(), m.end()) for kind, p, ok in tests for m in p.finditer(text) if ok(m[0])]
+
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def secrets(text: str | None) -> list[tuple[str, int, int]]:
+    text = text or ""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(kind, a, z) for a, _, kind, z in sorted(found)]
+
+
+def written(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
