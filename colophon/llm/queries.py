@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, secret_links, spans, toxic_segments
+from colophon.llm import disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, repeated_bytes, secret_links, spans, toxic_segments
 from colophon.llm.rows import keyed
 
 
@@ -36,6 +36,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document under strings of 400 bytes that occur twice."""
+    found = repeated_bytes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["z"] - s["a"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document before and after removal of repeated three-line windows."""
     cleaned = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
@@ -97,6 +104,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_line_dedup": op4_line_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_quality": op6_quality,

@@ -132,3 +132,19 @@ def secrets(text: str | None) -> list[tuple[str, int, int]]:
 
 def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
+
+
+def repeated_bytes(docs: list[tuple[int, str | None]], length: int = 400) -> set:
+    texts, seen = [((i, (t or "").encode())) for i, t in docs], defaultdict(int)
+    for _, b in texts:
+        for k in range(len(b) - length + 1):
+            seen[hash(b[k : k + length])] += 1
+    out = set()
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[hash(b[k : k + length])] > 1:
+                gone[k : k + length] = b"\1" * length
+        spans = len([1 for k, x in enumerate(gone) if x and (not k or not gone[k - 1])])
+        out.add((i, len(b), sum(gone), spans, sha(bytes(x for x, y in zip(b, gone, strict=True) if not y))))
+    return out
