@@ -18,22 +18,20 @@ def shaped(form: str) -> bool:
     return len(form) == 10 and form[:9].isdecimal() and (form[9].isdecimal() or form[9] == "X")
 
 
-def distance_to_keyword(ahead: str):
-    at = ahead.lower().rfind("isbn")
-    return None if at < 0 else len(ahead.lower()) - at - 4
-
-
 def find(text: str, context: int = 50, proximity: int = 6) -> list[tuple[str, str, int]]:
+    """Hits by definition: a number whose own stretch of text, looking back from its first
+    character, is some reach of characters, none of which starts the word anew, after the word."""
     text = URL.sub(" ", text)
-    hits = []
+    # On a lower-cased window: the word, then what is left of it, without the word in it again.
+    led = re.compile(r"isbn((?:(?!isbn).)*)\Z", re.DOTALL)
+    out = []
     for m in RUN.finditer(text):
-        if not shaped(clean(m[1]).upper()):
-            continue
-        gap = distance_to_keyword(text[max(0, m.start() - proximity - 4) : m.start()])
-        if gap is not None and gap <= proximity:
-            around = text[max(0, m.start() - context) : m.end() + context].strip()
-            hits.append((m[1], around, m.start()))
-    return hits
+        before, after = text[: m.start()], text[m.end() :]
+        near = led.search(before[-(proximity + len("isbn")) :].lower())
+        if shaped(clean(m[1]).upper()) and near and len(near[1]) <= proximity:
+            around = before[len(before) - min(context, len(before)) :] + m[1] + after[:context]
+            out.append((m[1], around.strip(), m.start()))
+    return out
 
 
 def valid(isbn: str) -> bool:
