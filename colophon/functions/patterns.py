@@ -48,7 +48,6 @@ NEWEST_DATES_TRIED = 5
 PLAN_LISTING = 20
 
 XML_NAMESPACE = r'xmlns="([^"]*)"'
-XML_NAMESPACE_WINDOW = 4096
 XML_ELEMENT = r"<(?:[\w.\-]+:)?([A-Za-z_][\w.\-]*)"
 ELEMENT_PAGES = 5
 

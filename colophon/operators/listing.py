@@ -65,8 +65,10 @@ def is_usable(listed: ColumnLike, busy: ColumnLike, is_newest: ColumnLike) -> Co
     return as_column(listed) & (~as_column(busy) | ~as_column(is_newest))
 
 
-def latest_dump(dates: DataFrame, date_pages: DataFrame) -> DataFrame:
-    """Per language the newest usable dump among its newest dates.
+def latest_dump(
+    dates: DataFrame, date_pages: DataFrame, dates_tried: int = p.NEWEST_DATES_TRIED
+) -> DataFrame:
+    """Per language the newest usable dump among its ``dates_tried`` newest dates.
 
     The rank is limited before the shuffle as well, so a language with very many
     dates sends only its newest ones.  The join then sees at most that many rows
@@ -75,14 +77,13 @@ def latest_dump(dates: DataFrame, date_pages: DataFrame) -> DataFrame:
     newest_first = Window.partitionBy("language").orderBy(F.desc("date"))
     tried = (
         dates.withColumn("rank", F.row_number().over(newest_first))
-        .filter(F.col("rank") <= p.NEWEST_DATES_TRIED)
+        .filter(F.col("rank") <= dates_tried)
         # The same date may be linked twice; it takes two places but is one date.
         .groupBy("language", "date")
         .agg(F.min("rank").alias("rank"))
     )
-    newest = tried.withColumn(
-        "is_newest", F.col("date") == F.max("date").over(Window.partitionBy("language"))
-    )
+    # The first of the ranked places holds the newest date.
+    newest = tried.withColumn("is_newest", F.col("rank") == 1)
     pages = newest.join(page_state(date_pages), ["language", "date"])
     usable = pages.filter(is_usable("listed", "busy", "is_newest"))
     best = usable.groupBy("language").agg(F.max("date").alias("date"))

@@ -11,7 +11,8 @@ from colophon.functions.text import as_column, ColumnLike
 
 def xml_namespace(head: ColumnLike) -> Column:
     """Namespace declared at the very beginning of a dump, NULL when there is none."""
-    start = F.left(as_column(head), F.lit(p.XML_NAMESPACE_WINDOW))
+    # Up to the end of the first start tag, however long it is.
+    start = F.regexp_extract(as_column(head), r"\A[^<]*(?:<[?!][^>]*>[^<]*)*<[^>]*>", 0)
     return F.nullif(F.regexp_extract(start, p.XML_NAMESPACE, 1), F.lit(""))
 
 
@@ -52,3 +53,13 @@ def compare_dump_structures(first: DataFrame, second: DataFrame, markup: str = "
         second.select(F.lit(False).alias("is_first"), markup)
     )
     return compare_elements(both, markup, F.col("is_first"))
+
+
+def compare_namespaces(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(first, second, same)``: the namespaces of two sets of heads of one dump each."""
+    both = first.select(F.lit(True).alias("is_first"), "head").unionByName(second.select(F.lit(False).alias("is_first"), "head"))
+    names = both.select("is_first", xml_namespace("head").alias("namespace")).agg(
+        F.max(F.when(F.col("is_first"), F.col("namespace"))).alias("first"),
+        F.max(F.when(~F.col("is_first"), F.col("namespace"))).alias("second"),
+    )
+    return names.select("first", "second", F.col("first").eqNullSafe(F.col("second")).alias("same"))

@@ -19,15 +19,14 @@ from colophon.operators import hits as H
 from colophon.operators import stats as S
 from colophon.sources import dumps as D
 from colophon.sources.failed_csv import write_failed_csv
-from colophon.sources.inventory import list_files
+from colophon.sources.inventory import dump_names
 from colophon.sources.reports import report_lines, write_report
+from colophon.sources.dumps import DumpError
 from colophon.workspace import store
 
-LEDGER_ORDER = (*D.POSITION, "k")
-
+__all__ = ["AuditRun", "DumpError", "ledger_of", "run_audit"]
 
-class DumpError(RuntimeError):
-    """A dump could not be read to its end."""
+LEDGER_ORDER = (*D.POSITION, "k")
 
 
 @dataclass
@@ -100,30 +99,30 @@ def run_audit(
     the failure table when anything failed.
     """
     begun = time.monotonic()
-    tolerant = on_error == "drop_dump"
-    pages = D.parse_pages(D.read_records(spark, dumps_dir, tolerant=tolerant), on_error)
-    ledger = store(ledger_of(pages, context, proximity), "ledger")
-
+    ledger, _ = D.store_pages(
+        spark, dumps_dir, on_error, lambda pages: ledger_of(pages, context, proximity), "ledger"
+    )
+    files = dump_names(spark, dumps_dir)
     names: list[str] = []
     if on_error != "skip_page":
-        # One row per dump file: a list of the size of the folder listing.
-        names = sorted(r[0] for r in D.failed_dumps(ledger).collect())
-        if names and on_error == "fail":
-            raise DumpError(f"no proper end in {', '.join(names)}")
-        ledger = ledger.filter(~F.col("dump_file").isin(names)) if names else ledger
+        failed = store(D.failed_dumps(ledger, files), "failed-dumps")
+        if on_error == "fail":
+            D.raise_if_any(failed)
+        else:
+            # What a caller is told; the filter below is a join.
+            names = [r[0] for r in failed.orderBy("dump_file").collect()]
+            ledger = ledger.join(failed, "dump_file", "left_anti") if names else ledger
     scanned = ledger.filter(F.col("kind") == "page").drop("kind")
     rollup = store(S.rollup_articles(scanned), "rollup")
-    totals = S.totals(rollup).first().asDict()
+    sums = store(S.totals(rollup), "totals")
+    totals = sums.first().asDict()
     run = AuditRun(scanned, rollup, names, time.monotonic() - begun, totals=totals)
     if output is None or totals["articles_with_isbn"] == 0:
         return run
 
-    files = list_files(spark, dumps_dir).select("file_name").distinct()
-    listed = sorted(r[0] for r in files.collect())
     stamp = time.strftime("%Y-%m-%d %H:%M:%S")
-    lines = report_lines(
-        S.totals(rollup), S.language_breakdown(rollup), listed, run.seconds, stamp
-    )
+    languages = store(S.language_breakdown(rollup), "languages")
+    lines = report_lines(sums, languages, files, run.seconds, stamp)
     run.report_path = write_report(lines, f"{output}/report")
     if totals["invalid"]:
         run.csv_path = write_failed_csv(

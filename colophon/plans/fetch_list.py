@@ -9,13 +9,22 @@ from colophon.operators import listing as L
 
 
 def fetch_list(
-    language_pages: DataFrame, inventory: DataFrame, index_pages: DataFrame, date_pages: DataFrame
+    language_pages: DataFrame | None,
+    inventory: DataFrame,
+    index_pages: DataFrame,
+    date_pages: DataFrame,
+    languages: DataFrame | None = None,
 ) -> DataFrame:
     """``(language, date, url)``: the newest usable dump of each language not yet present.
 
-    A language without a usable dump stays in the list with NULLs.
+    ``languages`` (language) names the languages wanted; without it they are read off
+    ``language_pages``.  A language without a usable dump stays in the list with NULLs.
     """
-    missing = L.missing_languages(L.language_codes(language_pages), inventory)
+    if languages is None:
+        if language_pages is None:
+            raise ValueError("give language_pages or languages")
+        languages = L.language_codes(language_pages)
+    missing = L.missing_languages(languages.select("language").distinct(), inventory)
     wanted_pages = index_pages.join(missing, "language", "left_semi")
     newest = L.latest_dump(L.dump_dates(wanted_pages), date_pages)
     return missing.join(newest, "language", "left").select("language", "date", "url").orderBy(

@@ -11,11 +11,20 @@ them, folders ``dump=<that name>`` of bz2 parts.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import labels
 from colophon.functions import patterns as p
+from colophon.sources.inventory import dump_names, list_files
+from colophon.workspace import store
 
 PAGE_SCHEMA = (
     "title STRING, ns STRING, "
@@ -29,30 +38,47 @@ PAGE_OPTIONS = {
     "ignoreSurroundingSpaces": "false",
 }
 ON_ERROR = ("fail", "drop_dump", "skip_page")
+#: Bytes of dump files that are read again if one of them turns out to be damaged.
+SHARE_BYTES = 1 << 40
+#: Failed dumps that an error message names.
+NAMED = 20
 
 # Where a page stands: dump, byte range of the dump, place within the range.
 POSITION = ("dump_file", "part", "row_id")
 
 
 def read_records(
-    spark: SparkSession, path: str, streaming: bool = False, tolerant: bool = False
+    spark: SparkSession,
+    path: str,
+    streaming: bool = False,
+    without: tuple[str, ...] = (),
+    share: tuple[int, int] = (0, 1),
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Raw records ``(dump_file, part, row_id, value)`` of every dump below ``path``.
 
     ``part`` and ``row_id`` together give the order of records in a dump; a stream
-    cannot number its rows, so there ``row_id`` is NULL.
-    ``tolerant`` reads on past a file that cannot be decompressed to its end.
+    cannot number its rows, so there ``row_id`` is NULL.  Dumps ``without`` are not
+    opened, and of ``share`` (k, n) only those that fall in the k-th of n shares.
+    A file that cannot be decompressed to its end fails the job that reads it.
     """
     reader = spark.readStream if streaming else spark.read
+    if streaming and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = (
         reader.option("lineSep", "</page>")
         .option("pathGlobFilter", p.DUMP_GLOB)
-        .option("ignoreCorruptFiles", str(tolerant).lower())
+        .option("ignoreCorruptFiles", "false")
+        .option("ignoreMissingFiles", "false")
         .text(path)
     )
     meta = F.col("_metadata")
     in_folder = "dump" in rows.columns
     name = F.col("dump").cast("string") if in_folder else meta["file_name"]
+    if without:
+        rows = rows.filter(~name.isin(*without))
+    if share[1] > 1:
+        rows = rows.filter(F.pmod(F.xxhash64(name), F.lit(share[1])) == share[0])
     # Parts of a folder are ordered by name, byte ranges of a file by position.
     part = F.concat(
         meta["file_name"] if in_folder else F.lit(""),
@@ -72,7 +98,8 @@ def _space_only(xml: Column, element: str) -> Column:
 
     The XML reader gives NULL for it, yet such a text is a text.
     """
-    found = F.regexp_extract(xml, rf"<{element}(?:\s[^>]*[^/>]|)>(\s+)</{element}>", 1)
+    first = F.substring_index(xml, "</revision>", 1)
+    found = F.regexp_extract(first, rf"<{element}(?:\s[^>]*[^/>]|)>(\s+)</{element}>", 1)
     return F.nullif(found, F.lit(""))
 
 
@@ -160,24 +187,95 @@ def keep_articles(pages: DataFrame) -> DataFrame:
     return kept.withColumn("url", labels.article_url("language", "title"))
 
 
-def read_articles(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """``(dump_file, part, row_id, language, title, text, url)`` of all dumps below ``path``.
+class DumpError(RuntimeError):
+    """A dump could not be read to its end."""
+
+
+_UNREADABLE = re.compile(r"FAILED_READ_FILE[^\]]*\] Encountered error while reading file (\S+)")
+
 
-    With ``drop_dump`` the dumps are read twice, once to judge them; the audit
-    plan avoids that by storing what it needs in one pass.
+def unreadable_dump(error: Exception) -> str | None:
+    """The dump that a failed job could not read, if that is why it failed."""
+    found = _UNREADABLE.search(str(error))
+    if not found:
+        return None
+    path = unquote(found[1].rstrip("."))
+    in_folder = re.search(r"/dump=([^/]+)/", path)
+    return in_folder[1] if in_folder else path.rsplit("/", 1)[-1]
+
+
+def store_pages(
+    spark: SparkSession,
+    path: str,
+    on_error: str,
+    narrow: Callable[[DataFrame], DataFrame],
+    label: str,
+    share_bytes: int = SHARE_BYTES,
+) -> tuple[DataFrame, list[str]]:
+    """``narrow`` of all parsed pages as a stored table, and the dumps that could not be decompressed.
+
+    The dumps are written in shares of some ``share_bytes``.  With ``drop_dump`` a share
+    in which a dump cannot be read is written again without it; otherwise the read error
+    is raised.  So only the share of a damaged dump is read twice.
     """
-    tolerant = on_error == "drop_dump"
-    pages = parse_pages(read_records(spark, path, tolerant=tolerant), on_error)
-    articles = keep_articles(pages.filter(F.col("kind") == "page"))
-    if on_error == "drop_dump":
-        articles = articles.join(failed_dumps(pages), "dump_file", "left_anti")
-    return articles.select(*POSITION, "language", "title", "text", "url")
+    total = list_files(spark, path).agg(F.sum("length")).first()[0] or 0
+    shares = 1 + total // share_bytes if on_error == "drop_dump" else 1
+    lost: list[str] = []
+    parts: list[DataFrame] = []
+    for share in range(shares):
+        while True:
+            pages = parse_pages(read_records(spark, path, without=tuple(lost), share=(share, shares)), on_error)
+            try:
+                parts.append(store(narrow(pages), label))
+                break
+            except (PySparkException, Py4JJavaError) as error:
+                name = unreadable_dump(error)
+                if on_error != "drop_dump" or name is None or name in lost:
+                    raise
+                lost.append(name)
+    return reduce(DataFrame.unionByName, parts), lost
+
 
+def failed_dumps(pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Dumps with a malformed page or without a proper end.
 
-def failed_dumps(pages: DataFrame) -> DataFrame:
-    """Dumps with a malformed page or without a proper end."""
-    state = pages.groupBy("dump_file").agg(
+    ``files`` (file_name) names the dumps that should be there; one of which no record
+    was read is a failed one.
+    """
+    state = pages.filter(F.col("kind") != "page").groupBy("dump_file").agg(
         F.bool_or(F.col("kind") == "broken").alias("broken"),
         F.bool_or(F.col("kind") == "end").alias("ended"),
     )
-    return state.filter(F.col("broken") | ~F.col("ended")).select("dump_file")
+    expected = pages.select("dump_file").distinct() if files is None else files.select(F.col("file_name").alias("dump_file")).distinct()
+    fine = state.filter(~F.col("broken") & F.col("ended")).select("dump_file")
+    return expected.join(fine, "dump_file", "left_anti")
+
+
+def raise_if_any(failed: DataFrame) -> None:
+    """Raise :class:`DumpError` that names the failed dumps, the first ones if there are many."""
+    names = [r[0] for r in failed.orderBy("dump_file").limit(NAMED + 1).collect()]
+    if names:
+        more = " and more" if len(names) > NAMED else ""
+        raise DumpError(f"no proper end in {', '.join(names[:NAMED])}{more}")
+
+
+def read_articles(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    """``(dump_file, part, row_id, language, title, text, url)`` of all dumps below ``path``.
+
+    ``skip_page`` is read lazily.  The other two judge whole dumps, so the pages are
+    stored, in one pass, before any article is given out: ``fail`` raises if a listed
+    dump is damaged, empty or without its end, ``drop_dump`` leaves it out.
+    """
+    if on_error not in ON_ERROR:
+        raise ValueError(f"on_error must be one of {ON_ERROR}")
+    if on_error == "skip_page":
+        articles = keep_articles(parse_pages(read_records(spark, path), on_error))
+    else:
+        pages, _ = store_pages(spark, path, on_error, lambda rows: rows.filter((F.col("kind") != "page") | is_article()), "pages")
+        failed = failed_dumps(pages, dump_names(spark, path))
+        if on_error == "fail":
+            raise_if_any(failed)
+        articles = keep_articles(pages.filter(F.col("kind") == "page"))
+        if on_error == "drop_dump":
+            articles = articles.join(failed, "dump_file", "left_anti")
+    return articles.select(*POSITION, "language", "title", "text", "url")

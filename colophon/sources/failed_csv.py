@@ -42,13 +42,16 @@ def read_failed_csv(spark: SparkSession, path: str) -> DataFrame:
     """The six columns by name, plus ``file`` and ``row_id``, the order of rows.
 
     A column that the header lacks is filled with its fallback; a table that
-    does not exist has no rows.
+    does not exist has no rows.  Files whose headers differ raise an error: read them
+    one by one and union them by name.
     """
     try:
         rows = (
             spark.read.options(**QUOTING, **KEEP_SPACE)
             .option("multiLine", "true")
             .option("emptyValue", "")
+            # Columns go by the header of the first file; another order must not pass.
+            .option("enforceSchema", "false")
             .csv(path)
         )
     except AnalysisException as error:

@@ -73,11 +73,12 @@ def _filled(template: tuple, values: dict[str, Column]) -> list[Column]:
 
 
 def report_lines(
-    totals: DataFrame, languages: DataFrame, dump_names: list[str], seconds: float, run_date: str
+    totals: DataFrame, languages: DataFrame, dumps: DataFrame, seconds: float, run_date: str
 ) -> DataFrame:
     """``(position, line)`` of the text report.
 
-    ``totals`` is one row; ``languages`` gets a breakdown when there are several.
+    ``totals`` is one row; ``languages`` gets a breakdown when there are several;
+    ``dumps`` has the ``file_name`` of every dump, a row each.
     """
 
     def shown(row: DataFrame) -> dict[str, Column]:
@@ -89,22 +90,20 @@ def report_lines(
         "run_date": F.lit(run_date),
         "seconds": fixed(elapsed, 1),
         "speed": F.coalesce(fixed(speed("articles_processed", elapsed), 1), F.lit("n/a")),
-        "dumps": F.lit(str(len(dump_names))),
+        "dumps": F.lit(str(dumps.count())),
     }
-    top = [
-        *(F.lit(text) for text in TITLE),
-        *_filled(RUN, run),
-        *(F.format_string(DUMP, F.lit(name)) for name in dump_names),
-        *_filled(TOTALS, shown(totals)),
-    ]
-    report = _lines(totals, 0, F.lit(""), top)
+    report = (
+        _lines(totals, 0, F.lit(""), [*(F.lit(text) for text in TITLE), *_filled(RUN, run)])
+        .unionByName(_lines(dumps, 1, F.col("file_name"), [F.format_string(DUMP, "file_name")]))
+        .unionByName(_lines(totals, 2, F.lit(""), _filled(TOTALS, shown(totals))))
+    )
     if languages.limit(2).count() < 2:
         return report
     values = {**shown(languages), "label": language_label("language")}
     one_row = totals.sparkSession.range(1)
     return report.unionByName(
-        _lines(one_row, 1, F.lit(""), [F.lit(p.REPORT_SECTION)])
-    ).unionByName(_lines(languages, 2, F.col("language"), _filled(LANGUAGE, values)))
+        _lines(one_row, 3, F.lit(""), [F.lit(p.REPORT_SECTION)])
+    ).unionByName(_lines(languages, 4, F.col("language"), _filled(LANGUAGE, values)))
 
 
 def write_report(lines: DataFrame, path: str) -> str:
@@ -126,7 +125,8 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 def pass_rates(reports: DataFrame, content: ColumnLike = "content") -> DataFrame:
     """``(…, wiki, pass_rate)`` of every language block in the given reports."""
-    content = as_column(content)
+    # Line ends of any system, as a file opened as text has them.
+    content = F.regexp_replace(as_column(content), r"\r\n?", "\n")
     at = F.instr(content, p.REPORT_SECTION)
     section = F.when(at > 0, F.substr(content, at))
     pairs = F.arrays_zip(

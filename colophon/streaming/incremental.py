@@ -16,11 +16,13 @@ from colophon.operators.stats import articles_processed
 from colophon.sources import dumps as D
 
 
-def stream_articles(spark: SparkSession, dumps_dir: str, on_error: str = "skip_page") -> DataFrame:
+def stream_articles(
+    spark: SparkSession, dumps_dir: str, on_error: str = "skip_page", files_per_batch: int | None = None
+) -> DataFrame:
     """Articles of arriving dumps.  A stream cannot take back a dump it has begun."""
     if on_error == "drop_dump":
         raise ValueError("a stream cannot drop a dump; use 'fail' or 'skip_page'")
-    pages = D.parse_pages(D.read_records(spark, dumps_dir, streaming=True), on_error)
+    pages = D.parse_pages(D.read_records(spark, dumps_dir, streaming=True, files_per_batch=files_per_batch), on_error)
     articles = D.keep_articles(pages.filter(F.col("kind") == "page"))
     return articles.select(*D.POSITION, "language", "title", "text", "url")
 
@@ -33,9 +35,14 @@ def append_new_hits(
     context: int = p.DEFAULT_CONTEXT,
     proximity: int = p.DEFAULT_PROXIMITY,
     on_error: str = "skip_page",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Append the hits of all dumps not seen before to the table at ``output``, then stop."""
-    hits = find_isbns(stream_articles(spark, dumps_dir, on_error), "text", context, proximity)
+    """Append the hits of all dumps not seen before to the table at ``output``, then stop.
+
+    With ``files_per_batch`` a backlog is worked off in several batches, and a failure
+    repeats only the last of them.
+    """
+    hits = find_isbns(stream_articles(spark, dumps_dir, on_error, files_per_batch), "text", context, proximity)
     return (
         hits.writeStream.format("parquet")
         .option("path", output)
@@ -47,21 +54,36 @@ def append_new_hits(
 
 
 def update_article_counts(
-    spark: SparkSession, dumps_dir: str, output: str, checkpoint: str, on_error: str = "skip_page"
+    spark: SparkSession,
+    dumps_dir: str,
+    output: str,
+    checkpoint: str,
+    on_error: str = "skip_page",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Keep the number of articles per language over all runs in the table at ``output``.
+    """Keep the number of articles per language over all runs below ``output``.
 
-    State holds one row per language.  Each batch replaces the table.
+    State holds one row per language.  Each batch writes the whole table anew as
+    ``batch=<number>``; :func:`read_article_counts` takes the newest, so readers always
+    find a full table, and a batch that is repeated writes the same one.
     """
-    counts = articles_processed(stream_articles(spark, dumps_dir, on_error), "language")
+    counts = articles_processed(stream_articles(spark, dumps_dir, on_error, files_per_batch), "language")
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{output}/batch={batch}")
 
     return (
-        counts.writeStream.foreachBatch(replace)
+        counts.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("complete")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_article_counts(spark: SparkSession, output: str) -> DataFrame:
+    """``(language, articles_processed)`` after the newest batch that is written to its end."""
+    # The files of a batch appear when its job commits, after all of them are written.
+    rows = spark.read.parquet(output)
+    newest = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(newest, "batch", "left_semi").select("language", "articles_processed")

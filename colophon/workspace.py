@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -58,25 +57,9 @@ def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _bytes(setting: str) -> int:
-    """A size setting such as ``134217728b``, ``256m`` or ``1GB`` in bytes."""
-    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", setting.strip().lower()).groups()
-    return int(number) << (10 * " kmgt".index(unit or " "))
+def spread(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Deal the rows to ``parts`` tasks, for work bound by the processor on files of one row group.
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the result as the optimizer estimates it from the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out an input too small to give every core a full split.
-
-    Searching text is bound by the processor, and a small file, whatever it is cut
-    into, may hold a single row group and so be one task.  What is moved is
-    bounded by one split per core; anything larger is left as it lies.
+    The caller says how many; nothing depends on the size of the input.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df.repartition(cores, *keys) if input_bytes(df) < cores * split else df
+    return df.repartition(parts, *keys)

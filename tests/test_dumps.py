@@ -1,3 +1,4 @@
+import bz2
 import random
 
 import pytest
@@ -69,8 +70,8 @@ def test_one_file_is_shared_by_many_tasks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
     try:
+        assert D.read_records(spark, str(tmp_path)).rdd.getNumPartitions() > 5
         articles = D.read_articles(spark, str(tmp_path))
-        assert articles.rdd.getNumPartitions() > 5
         rows = articles.orderBy(*D.POSITION).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -117,6 +118,98 @@ def test_truncated_file(spark, tmp_path):
     assert run.totals["articles_processed"] == 1
 
 
+def damage(path, at: float = 0.5):
+    """Change some bytes in the middle of a file."""
+    data = bytearray(path.read_bytes())
+    middle = int(len(data) * at)
+    data[middle : middle + 400] = bytes(255 - x for x in data[middle : middle + 400])
+    path.write_bytes(bytes(data))
+
+
+def test_damage_inside_a_file_of_many_splits(spark, tmp_path):
+    """Splits after the damage are fine and hold the end; the dump is dropped whole all the same."""
+    rng = random.Random(4)
+    texts = [GOOD + " " + "".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(600)]
+    tiny.write(tmp_path / EN, [tiny.page("Fine", GOOD)])
+    damage(tiny.write(tmp_path / DE, [tiny.page(f"P{i}", t) for i, t in enumerate(texts)], per_stream=20, level=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        run = run_audit(spark, str(tmp_path), on_error="drop_dump")
+        assert run.failed_dumps == [DE] and run.totals["articles_processed"] == 1
+        assert [r["title"] for r in D.read_articles(spark, str(tmp_path), "drop_dump").collect()] == ["Fine"]
+        for mode in ("fail", "skip_page"):
+            with pytest.raises(Exception, match="FAILED_READ_FILE"):
+                D.read_articles(spark, str(tmp_path), mode).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("content", [b"", b"no bzip2 at all" * 50, bz2.compress(b"<mediawiki><siteinfo></siteinfo>"), bz2.compress(b"")])
+def test_dumps_without_records(spark, tmp_path, content):
+    tiny.write(tmp_path / EN, [tiny.page("Fine", GOOD)])
+    (tmp_path / DE).write_bytes(content)
+    run = run_audit(spark, str(tmp_path), on_error="drop_dump")
+    assert run.failed_dumps == [DE] and run.totals["articles_processed"] == 1
+    with pytest.raises(Exception, match="dewiki"):
+        run_audit(spark, str(tmp_path))
+    with pytest.raises(Exception, match="dewiki"):
+        D.read_articles(spark, str(tmp_path))
+
+
+def test_shares_give_the_same(spark, folder):
+    narrow = lambda pages: pages.select("dump_file", "kind", "title")
+    one, _ = D.store_pages(spark, str(folder), "drop_dump", narrow, "one")
+    many, lost = D.store_pages(spark, str(folder), "drop_dump", narrow, "many", share_bytes=300)
+    assert lost == [] and sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
+
+
+def test_folders_below_are_not_read(spark, folder, tmp_path):
+    (folder / "old").mkdir()
+    tiny.write(folder / "old" / "frwiki-20250101-pages-articles-multistream.xml.bz2", [tiny.page("A", GOOD)])
+    run = run_audit(spark, str(folder), str(tmp_path / "report-of-it"))
+    report = "".join(r["content"] for r in read_reports(spark, run.report_path).collect())
+    assert "Wikis Processed: 3" in report and "frwiki" not in report and run.totals["articles_processed"] == 7
+
+
+def test_report_with_line_ends_of_another_system(spark, folder, tmp_path):
+    run = run_audit(spark, str(folder), str(tmp_path / "report-of-it"))
+    text = "".join(r["content"] for r in read_reports(spark, run.report_path).collect())
+    (tmp_path / "crlf.txt").write_bytes(text.replace("\n", "\r\n").encode())
+    rates = pass_rates(read_reports(spark, str(tmp_path / "crlf.txt"))).collect()
+    assert sorted((r["wiki"], r["pass_rate"]) for r in rates) == [("DE", 33.33), ("EN", 75.0)]
+
+
+def test_first_revision_alone_says_what_is_blank(spark, tmp_path):
+    page = tiny.page("Two", raw_text="<text></text>").replace("</revision>", "</revision><revision><text xml:space=\"preserve\">  </text></revision>")
+    tiny.write(tmp_path / EN, [page, tiny.page("Fine", GOOD)])
+    assert [r["title"] for r in D.read_articles(spark, str(tmp_path)).collect()] == ["Fine"]
+
+
+def test_heads_of_an_index_and_of_a_dump_in_parts(spark, tmp_path):
+    index = tmp_path / "enwiki-20250101-pages-articles-multistream-index.txt.bz2"
+    index.write_bytes(bz2.compress(b"616:1:A\n" * 500_000))
+    parts = tmp_path / f"dump={DE}"
+    parts.mkdir()
+    (parts / "part-00000.bz2").write_bytes(bz2.compress(b"<mediawiki xmlns=\"http://x/\"><page></page>"))
+    (parts / "part-00001.bz2").write_bytes(b"not opened")
+    heads = {r["file_name"]: r["head"] for r in read_heads(spark, str(tmp_path)).collect() if r["file_name"]}
+    assert heads[DE].startswith("<mediawiki")
+
+
+def test_head_reader_is_shipped_by_value():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from colophon.sources.inventory import head_reader
+
+    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); print(list(f(iter([]))), 'colophon' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(head_reader(5)), capture_output=True, cwd="/")
+    assert out.stdout.split() == [b"[]", b"False"], out.stderr
+
+
 def test_unclosed_page_before_another(spark, tmp_path):
     pages = [tiny.page("Open", GOOD).replace("  </page>\n", ""), tiny.page("Fine", GOOD)]
     tiny.write(tmp_path / EN, pages)
@@ -179,8 +272,6 @@ def test_counts_per_dump(spark, folder):
 
 def test_namespaces(spark, folder, tmp_path):
     quoted = tmp_path / "frwiki-20250101-pages-articles.xml.bz2"
-    import bz2
-
     quoted.write_bytes(bz2.compress(b"<mediawiki xmlns='http://x/'><page></page></mediawiki>"))
     rows = X.dump_namespaces(read_heads(spark, str(folder))).collect()
     assert {r["file_name"]: r["namespace"] for r in rows} == {

@@ -2,7 +2,7 @@ import pytest
 
 from colophon.operators.hits import find_isbns
 from colophon.sources import dumps as D
-from colophon.streaming.incremental import append_new_hits, stream_articles, update_article_counts
+from colophon.streaming.incremental import append_new_hits, read_article_counts, stream_articles, update_article_counts
 from tests import tiny
 
 
@@ -16,10 +16,10 @@ def test_each_dump_is_processed_once(spark, tmp_path):
     dumps.mkdir()
 
     def run():
-        append_new_hits(spark, str(dumps), str(out), str(state)).awaitTermination()
-        update_article_counts(spark, str(dumps), str(counts), str(count_state)).awaitTermination()
+        append_new_hits(spark, str(dumps), str(out), str(state), files_per_batch=1).awaitTermination()
+        update_article_counts(spark, str(dumps), str(counts), str(count_state), files_per_batch=1).awaitTermination()
         hits = spark.read.parquet(str(out)).select("language", "title", "k", "isbn", "context", "is_valid")
-        sums = {r["language"]: r["articles_processed"] for r in spark.read.parquet(str(counts)).collect()}
+        sums = {r["language"]: r["articles_processed"] for r in read_article_counts(spark, str(counts)).collect()}
         return sorted(map(tuple, hits.collect())), sums
 
     def batch():

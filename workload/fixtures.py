@@ -70,7 +70,12 @@ def sql(spark: SparkSession, sf_dir: str, statement: str, *tables: str) -> DataF
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, title, language, text)``."""
-    return spread(sql(spark, sf_dir, ARTICLES, "orders", "documents"), "page_id")
+    return spread(sql(spark, sf_dir, ARTICLES, "orders", "documents"), parts(spark), "page_id")
+
+
+def parts(spark: SparkSession) -> int:
+    """Tasks for the articles, the same at every size of the tables: three for each core."""
+    return 3 * spark.sparkContext.defaultParallelism
 
 
 def _escaped(column: str) -> F.Column:

@@ -19,7 +19,7 @@ from colophon.sources import dumps as D
 from colophon.sources.failed_csv import read_failed_csv, write_failed_csv
 from colophon.sources.inventory import read_heads, read_inventory, with_codes
 from colophon.sources.reports import pass_rates, read_reports, write_report
-from colophon.streaming.incremental import append_new_hits, update_article_counts
+from colophon.streaming.incremental import append_new_hits, read_article_counts, update_article_counts
 from colophon.workspace import new_folder, spread
 from workload import oracle as O
 from workload import fixtures as W
@@ -155,7 +155,7 @@ CLEANED = rf"""(select *, regexp_replace(isbn, '{O.SEPARATOR}', '', 'g') as stri
 
 
 def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(W.sql(spark, sf_dir, SPELLINGS, "lineitem"), "l_orderkey", "l_linenumber")
+    return spread(W.sql(spark, sf_dir, SPELLINGS, "lineitem"), W.parts(spark), "l_orderkey", "l_linenumber")
 
 
 @query(f"select l_orderkey, l_linenumber, normalized, stripped from {CLEANED} c")
@@ -439,11 +439,11 @@ def audit_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_failed_csv(spark, run.csv_path).drop("file", "row_id")
 
 
-@query(f"select count(*) as articles, true as timed from ({W.DUMP_ARTICLES}) a")
+@query(f"select count(*) as articles, count(*) as rate_by_seconds from ({W.DUMP_ARTICLES}) a")
 def audit_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles per second of a run; the rate itself differs from run to run."""
+    """Articles of a run, and its rate times its seconds, which must be the articles again."""
     speed = run_audit(spark, W.dumps(spark, sf_dir)).speed()
-    return speed.select("articles", (F.col("articles_per_second") > 0).alias("timed"))
+    return speed.select("articles", F.round(F.col("articles_per_second") * F.col("seconds")).cast("long").alias("rate_by_seconds"))
 
 
 # -- dumps ---------------------------------------------------------------------
@@ -494,11 +494,15 @@ def dump_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""select distinct language, '{W.DUMP_DATE}' as dump_date, true as has_bytes from ({W.ARTICLES}) a"""
+    f"""select distinct language, '{W.DUMP_DATE}' as dump_date, true as bytes_agree from ({W.ARTICLES}) a"""
 )
 def dump_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = read_inventory(spark, W.dumps(spark, sf_dir))
-    return files.groupBy("language", "dump_date").agg((F.sum("length") > 0).alias("has_bytes"))
+    """Bytes of each dump in the inventory beside those of the contents of its files."""
+    path = W.dumps(spark, sf_dir)
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.bz2").load(path)
+    held = read.groupBy(F.col("dump").cast("string").alias("file_name")).agg(F.sum(F.octet_length("content")).alias("held"))
+    files = read_inventory(spark, path).groupBy("file_name", "language", "dump_date").agg(F.sum("length").alias("listed"))
+    return files.join(held, "file_name").select("language", "dump_date", (F.col("listed") == F.col("held")).alias("bytes_agree"))
 
 
 ELEMENTS = r"""select starts_with(url, 'https') as first,
@@ -672,4 +676,4 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_article_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, checkpoint = new_folder(spark, "stream-counts"), new_folder(spark, "stream-state")
     update_article_counts(spark, W.dumps(spark, sf_dir), output, checkpoint).awaitTermination()
-    return spark.read.parquet(output)
+    return read_article_counts(spark, output)
