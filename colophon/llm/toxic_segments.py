@@ -12,7 +12,7 @@ of the excess of its segments on that scale; a logistic curve fitted on the labe
 rows turns it into a probability.
 
 Sizes
-* Tokens fall in ``BUCKETS`` hash buckets, so the model has a fixed size (4 MB) and goes
+* Tokens fall in ``BUCKETS`` hash buckets, so the model has a fixed size (2 MB) and goes
   to every task.  Its prior counts every document of the corpus.
 * Labels are taken from all learning rows; their ids are broadcast up to
   ``MOST_BROADCAST``, beyond which both sides are shuffled.
@@ -41,7 +41,7 @@ from colophon.llm import tokens as T
 from colophon.llm.kneser_ney import MOST_BROADCAST
 from colophon.workspace import store
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Weight of the prior, in times of what is counted in the labelled documents.
 PRIOR = 0.05
 #: Standard deviations by which log-odds are drawn to nothing.
