@@ -282,6 +282,26 @@ def test_namespaces(spark, folder, tmp_path):
     }
 
 
+def test_namespaces_of_two_dumps(spark, folder):
+    heads = read_heads(spark, str(folder))
+    of = lambda name: heads.filter(F.col("file_name") == name)
+    assert X.compare_namespaces(of(EN), of(DE)).first()["same"] is False
+    assert tuple(X.compare_namespaces(of(YUE), of(YUE)).first()) == (None, None, True)
+
+
+def test_namespace_behind_a_long_start_tag(spark):
+    head = "<?xml version='1.0'?>\n<mediawiki " + "a='b' " * 2000 + 'xmlns="http://x/" >' + '<p xmlns="http://y/">'
+    assert spark.createDataFrame([(head,)], "head string").select(X.xml_namespace("head")).first()[0] == "http://x/"
+
+
+def test_csv_files_of_differing_headers_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"article_title","language","isbn","format"\n"S","de","2","ISBN-13"\n')
+    (tmp_path / "b.csv").write_text('"isbn","article_title","format","language"\n"2","S","ISBN-13","de"\n')
+    with pytest.raises(Exception, match="(?i)header"):
+        read_failed_csv(spark, str(tmp_path)).collect()
+    assert read_failed_csv(spark, str(tmp_path / "b.csv")).first()["article_title"] == "S"
+
+
 def test_structures_of_heads_and_of_whole_dumps(spark, tmp_path):
     tiny.write(tmp_path / EN, [tiny.page(f"P{i}") for i in range(5)] + [tiny.page("late", redirect=True)], per_stream=3)
     tiny.write(tmp_path / DE, [tiny.page("P", extra="<discussion />")])

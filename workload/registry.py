@@ -535,6 +535,23 @@ def dump_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.compare_dump_structures(one, two, "value")
 
 
+@query(
+    f"""with p as (select language, page_id, row_number() over (partition by language order by page_id) as turn from ({W.ARTICLES}) a)
+    select element, case when bool_or(side = 'en') and bool_or(side = 'de') then 'common'
+    when bool_or(side = 'en') then 'only_in_first' else 'only_in_second' end as side from (
+      select language as side, unnest(['mediawiki', 'siteinfo', 'sitename']) as element from p
+      union all
+      select language, unnest(case when page_id % 11 = 0 then ['redirect'] else [] end
+        || ['page', 'title', 'ns', 'revision', 'text']) from p where turn <= 5) e
+    where side in ('en', 'de') group by element"""
+)
+def dump_head_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the heads of the dumps, up to the end of their fifth page."""
+    heads = read_heads(spark, W.dumps(spark, sf_dir))
+    one, two = (heads.filter(C.dump_language("file_name") == code) for code in ("en", "de"))
+    return X.compare_dump_structures(one, two)
+
+
 # -- lists of languages and dumps ------------------------------------------------
 
 
@@ -634,6 +651,16 @@ def dumps_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""select m.language, l.date, l.url from (select language from ({WANTED}) w where language not in ({PRESENT})) m
+    left join ({LATEST}) l on l.language = m.language"""
+)
+def named_dumps_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for languages that the caller names."""
+    W.register(spark, sf_dir, "orders", "customer")
+    return fetch_list(None, spark.sql(PRESENT), spark.sql(INDEX_PAGES), spark.sql(DATE_PAGES), languages=L.language_codes(spark.sql(LANGUAGE_PAGES)))
+
+
 INVENTORY = """
 select doc_id, concat(lang, 'wiki-2025', lpad(cast(doc_id % 10000 as varchar(20)), 4, '0'), '-pages-articles', cast(doc_id as varchar(20)), '.xml.bz2') as file_name,
  n_chars * 100000 as length from documents
