@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colophon import functions as C
 from colophon.functions import patterns as p
+from colophon.operators import position as P
 from colophon.operators.once import compute_once
 
 HIT_COLUMNS = (
@@ -145,11 +146,19 @@ def failed_isbns(hits: DataFrame, *order: str) -> DataFrame:
 def deduplicate_isbns(isbns: DataFrame, order: tuple[str, ...], isbn_col: str = "isbn") -> DataFrame:
     """First spelling of each normalised ISBN, in the order of first appearance.
 
-    ``order`` must order the rows totally.  The map side keeps one row per ISBN,
-    so an ISBN that fills a third of the input is one row by the time it moves.
+    ``order`` must order the rows totally.  The map side keeps one row per spelling, so
+    an ISBN that fills a third of the input is one row by the time it moves.  An order
+    of whole numbers is folded by hash; any other one is sorted first.
     """
-    position = F.struct(*order)
-    first = isbns.groupBy(C.normalize_isbn(isbn_col).alias("normalized")).agg(
-        F.min(F.struct(position.alias("at"), F.col(isbn_col).alias("isbn"))).alias("first")
-    )
-    return first.orderBy("first.at").select("normalized", "first.isbn", "first.at.*")
+    normalized = C.normalize_isbn(isbn_col).alias("normalized")
+    if not P.fits(isbns, order):
+        position = F.struct(*order)
+        first = isbns.groupBy(normalized).agg(
+            F.min(F.struct(position.alias("at"), F.col(isbn_col).alias("isbn"))).alias("first")
+        )
+        return first.orderBy("first.at").select("normalized", "first.isbn", "first.at.*")
+    spelled = isbns.groupBy(normalized, F.col(isbn_col).alias("isbn")).agg(F.min(P.packed(isbns, order)).alias("at"))
+    least = spelled.groupBy("normalized").agg(F.min("at").alias("least")).withColumnRenamed("normalized", "of")
+    # The order is total, so the least place belongs to one spelling.
+    first = spelled.join(least, F.col("normalized").eqNullSafe(F.col("of")) & (F.col("at") == F.col("least"))).orderBy("at")
+    return first.select("normalized", "isbn", *P.unpacked(isbns, order, "at"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colophon import functions as C
 from colophon.functions import patterns as p
+from colophon.operators import position as P
 from colophon.operators.hits import with_checks
 
 ROLLUP_KEYS = ("language", "format", "is_valid", "unique_form")
@@ -197,9 +198,8 @@ def top_failing_articles(
     failed: DataFrame, order: tuple[str, ...], n: int = p.TOP_ARTICLES, title: str = "article_title"
 ) -> DataFrame:
     """Articles with most failures; ties keep the order of first appearance."""
-    counted = failed.groupBy(title).agg(
-        F.count(F.lit(1)).alias("failed"), F.min(F.struct(*order)).alias("first_seen")
-    )
+    place = P.packed(failed, order) if P.fits(failed, order) else F.struct(*order)
+    counted = failed.groupBy(title).agg(F.count(F.lit(1)).alias("failed"), F.min(place).alias("first_seen"))
     top = counted.orderBy(F.desc("failed"), F.asc("first_seen")).limit(n)
     return top.select(title, "failed")
 

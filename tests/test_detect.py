@@ -180,6 +180,36 @@ def test_deduplicate_keeps_first_spelling_in_order(spark):
     assert got == ["0-306-40615-2", "080442957x", "978-0306406157"]
 
 
+def test_places_as_numbers(spark):
+    """Order and values survive, extremes and nulls too."""
+    from colophon.operators import position as P
+
+    order = ("a", "b")
+    rows = [(x, y) for x in (None, -(2**63), -1, 0, 7, 2**63 - 1) for y in (None, -(2**31), 0, 2**31 - 1)]
+    df = spark.createDataFrame(rows, "a LONG, b INT").repartition(3)
+    assert P.fits(df, order) and not P.fits(df.withColumn("c", F.col("a")), ("a", "b", "c"))
+    numbers = df.withColumn("n", P.packed(df, order)).orderBy("n")
+    assert [tuple(r) for r in numbers.select(*order).collect()] == rows
+    assert [tuple(r) for r in numbers.select(*P.unpacked(df, order, "n")).collect()] == rows
+
+
+def test_first_places_are_folded_by_hash(spark):
+    from colophon.operators import stats as S
+
+    df = spark.createDataFrame([(1, 2, "0306406152", "t")], "page_id LONG, k INT, isbn STRING, article_title STRING")
+    for out in (H.deduplicate_isbns(df, ("page_id", "k")), S.top_failing_articles(df, ("page_id", "k"))):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    for order in (("i",), ("i", "j"), ("s", "i")):
+        rows = [(k % 5, k, str(k), ("0-306-40615-2", "0306406152", "080442957x")[k % 3]) for k in range(40)]
+        few = spark.createDataFrame(rows, "j INT, i LONG, s STRING, isbn STRING").repartition(4)
+        got = [tuple(r) for r in H.deduplicate_isbns(few, order).select("isbn", *order).collect()]
+        key = lambda r: tuple({"i": r[1], "j": r[0], "s": r[2]}[c] for c in order)
+        best = {}
+        for r in sorted(rows, key=key):
+            best.setdefault(r[3].replace("-", "").upper(), (r[3], *key(r)))
+        assert got == sorted(best.values(), key=lambda x: x[1:])
+
+
 def test_urls_and_trim(spark):
     cases = ["a http://x.y/z?q=1 b", "HTTP://x", "see https://a.b/[c]", " \x1c a b\t\n ", "https://é.ü/ö z"]
     df = spark.createDataFrame([(c,) for c in cases], "t STRING")
