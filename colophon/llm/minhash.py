@@ -2,11 +2,11 @@
 
 Documents are sets of five-word shingles.  Equal sets are one class.  Class
 representatives are banded by MinHash; in a bucket, members are compared with a few
-pivots, never all with all.  A pair's signatures are compared batch by batch; it is
-given up as soon as the posterior probability that its similarity reaches the
-threshold falls below ``miss``.  Survivors are verified on the full sets.  Buckets
-whose members are not yet one component go on with further pivots, until every pair
-that is not connected otherwise has been compared.
+pivots, and connected members are not compared again.  A pair's signatures are compared
+batch by batch; it is given up as soon as the posterior probability that its similarity
+reaches the threshold falls below ``miss``.  Survivors are verified on the full sets.
+In buckets whose members are then not one component, the others are compared in blocks
+with all members, so that every pair that is not connected otherwise has been compared.
 
 Definitions
 * ``A-Z`` are lower-cased; a word is a run without ASCII white space.
@@ -25,6 +25,7 @@ from hashlib import blake2b
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,15 @@ BATCH = 24
 PERCENT = 85
 #: Chance at each batch of giving up a pair that is similar enough.
 MISS = 1e-6
-#: Pivots per bucket, by round; the last goes on.
-PIVOTS = (1, 16, 64)
+#: Pivots per bucket, by round; what they leave open is compared in blocks.
+PIVOTS = (1, 4)
+#: Members of a block, and shingles in their sets (16 MB), on average.
+BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
+#: Ids of texts to verify are broadcast up to so many (16 MB); beyond, texts are shuffled.
+MOST_BROADCAST = 1_000_000
 _CHUNK = 1024
+_PAIRS = 1 << 16
 
 _random = np.random.default_rng(20240501)
 _FACTORS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -127,6 +134,14 @@ def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
+def similar(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets are similar enough, by their exact sizes."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (u, v) whose full shingle sets are similar enough; ``texts`` is (id, text)."""
 
@@ -139,8 +154,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 if u != before:
                     before, mine = u, next(shingle_sets(batch.column(2).slice(k, 1)))
                 other = next(shingle_sets(batch.column(3).slice(k, 1)))
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(mine) + len(other) - both):
+                if similar(mine, other, percent):
                     kept.append(k)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
@@ -151,44 +165,121 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 
 
 def buckets(sketch: DataFrame) -> DataFrame:
-    """(bucket, id) of buckets with two members at least."""
+    """(bucket, band, id, rank) of buckets with two members at least.
+
+    ``rank`` is greater the more company an id has over all its buckets: in a group of
+    copies with random changes the least changed text stands near the others, and so
+    makes the best pivot.
+    """
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 1 + 4 * BAND_ROWS * k, 4 * BAND_ROWS)) for k in range(BANDS)])
-    members = sketch.select("id", F.explode(bands).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return members.join(shared, "bucket", "left_semi").select("bucket", "id")
+    members = sketch.select("id", F.posexplode(bands).alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = store(members.join(shared, "bucket").select("bucket", "band", "id", "n"), "minhash-members")
+    # Company first; of equal company any order does, as long as it is the same in all buckets.
+    company = members.groupBy("id").agg((F.least(F.sum("n"), F.lit(1 << 42)) * (1 << 20) + F.pmod(F.xxhash64(F.first("id")), F.lit(1 << 20))).alias("rank"))
+    return members.join(company, "id").select("bucket", "band", "id", "rank")
 
 
 def pivots(members: DataFrame, count: int) -> DataFrame:
-    """(bucket, pivot): ``count`` members of each bucket, found with a limit before the shuffle."""
-    if count == 1:
-        return members.groupBy("bucket").agg(F.min("id").alias("pivot"))
-    ranked = members.selectExpr("bucket", "id AS pivot", "row_number() OVER (PARTITION BY bucket ORDER BY id) AS place")
-    return ranked.where(F.col("place") <= count).select("bucket", "pivot")
+    """(bucket, pivot, d): the ``count`` members of each bucket of highest rank, and their component."""
+    ranked = members.selectExpr("bucket", "id AS pivot", "c AS d", "row_number() OVER (PARTITION BY bucket ORDER BY rank DESC, id) AS place")
+    return ranked.where(F.col("place") <= count).select("bucket", "pivot", "d")
+
+
+def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (u, v) among members of a bucket that are not of one component.
+
+    Members outside the component of the bucket's first member by rank are compared with
+    all members.  Both are dealt in blocks of bounded size; a task holds a block of
+    either, and gives only links.  A pair is looked at in the first band it shares.
+    """
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
+
+    ids = members.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    sets = texts_of(ids, texts).select("id", "text").mapInArrow(to_sets, "id long, shingles binary").dropDuplicates(["id"])
+    known = store(sketch.join(sets, "id"), "minhash-sets")
+    first = members.groupBy("bucket").agg(F.max_by("c", "rank").alias("d"))
+    told = members.join(first, "bucket").join(known.select("id", "n_shingles"), "id").withColumn("outer", F.col("c") != F.col("d"))
+    blocks = lambda x: F.ceil(F.greatest(F.sum(x) / BLOCK, F.sum(x * F.col("n_shingles")) / BLOCK_SHINGLES)).cast("int")
+    sizes = told.groupBy("bucket").agg(blocks(F.lit(1)).alias("blocks"), blocks(F.col("outer").cast("int")).alias("outer_blocks"))
+    told = told.drop("n_shingles").join(sizes.where("outer_blocks > 0"), "bucket")
+    one, two = F.pmod(F.xxhash64("id"), "outer_blocks").cast("int"), F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    columns = ("band", "id", "c")
+    left = told.where("outer").select("bucket", one.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("outer"), *columns)
+    right = told.select("bucket", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("i"), two.alias("j"), F.lit(False).alias("outer"), *columns)
+    need = least_matches()
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = frame[frame["outer"]], frame[~frame["outer"]]
+        nothing = pd.DataFrame({"u": np.zeros(0, dtype=np.int64), "v": np.zeros(0, dtype=np.int64)})
+        if not len(a) or not len(b):
+            return nothing
+        band = int(frame["band"].iloc[0])
+        x, y = (np.frombuffer(b"".join(f["signature"]), dtype=np.uint32).reshape(len(f), HASHES) for f in (a, b))
+        matches = np.zeros((len(a), len(b)), dtype=np.int16)
+        for k in range(BATCH):
+            matches += x[:, k, None] == y[None, :, k]
+        u, v = np.nonzero((matches >= need[0]) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]))
+        found = matches[u, v].astype(np.int64)
+        for k, least in enumerate(need[1:], start=1):
+            cut = slice(k * BATCH, (k + 1) * BATCH)
+            for at in range(0, len(u), _PAIRS):
+                part = slice(at, at + _PAIRS)
+                found[part] += (x[u[part], cut] == y[v[part], cut]).sum(axis=1)
+            alive = found >= least
+            u, v, found = u[alive], v[alive], found[alive]
+        p, q = a["id"].to_numpy(), b["id"].to_numpy()
+        ours, theirs = ([np.frombuffer(w, dtype=np.uint64) for w in f["shingles"]] for f in (a, b))
+        links = []
+        for at in range(0, len(u), _PAIRS):
+            m, n = u[at : at + _PAIRS], v[at : at + _PAIRS]
+            shared = (x[m].reshape(-1, BANDS, BAND_ROWS) == y[n].reshape(-1, BANDS, BAND_ROWS)).all(axis=2)
+            here = shared.argmax(axis=1) == band
+            links += [(min(p[i], q[j]), max(p[i], q[j])) for i, j in zip(m[here], n[here], strict=True) if similar(ours[i], theirs[j])]
+        return pd.DataFrame(sorted(set(links)), columns=["u", "v"], dtype="int64") if links else nothing
+
+    rows = left.union(right).join(known.drop("n_shingles"), "id")
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (id, text) that ``pairs`` name; their ids are broadcast up to MOST_BROADCAST."""
+    asked = store(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "minhash-asked")
+    return texts.join(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked, "id", "left_semi")
 
 
 def linked(sketch: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (u, v) that connect all class representatives of a component, and their components; or None."""
-    active = store(buckets(sketch), "minhash-buckets")
-    links, groups, turn = None, None, 0
-    while True:
-        count = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        turn += 1
+    active, links, groups = store(buckets(sketch), "minhash-buckets"), None, None
+    for count in (*PIVOTS, None):
         if groups is None:
             told = active.withColumn("c", F.col("id"))
         else:
-            told = active.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-            open_ = told.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-            told = store(told.join(open_, "bucket", "left_semi"), "minhash-open")
+            told = active.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "rank", F.coalesce("component", "id").alias("c"))
+        mixed = told.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+        told = store(told.join(mixed, "bucket", "left_semi"), "minhash-open")
         if told.isEmpty():
-            return links, groups
-        heads = store(pivots(told, count), "minhash-pivots")
-        tops = heads.join(told.select("bucket", F.col("id").alias("pivot"), F.col("c").alias("d")), ["bucket", "pivot"]) if groups is not None else heads.withColumn("d", F.col("pivot"))
-        pairs = told.join(tops, "bucket").where("c <> d").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-        survivors = store(likely(pairs, sketch), "minhash-likely")
-        found = store(verified(survivors, texts), "minhash-links")
+            break
+        if count:
+            tops = store(pivots(told, count), "minhash-pivots")
+            pairs = told.join(tops, "bucket").where("c <> d").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
+            pairs = likely(pairs, sketch)
+            # Pivots have been compared with all of their bucket.
+            active = told.select("bucket", "band", "id", "rank").join(tops.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
+            survivors = store(pairs, "minhash-likely")
+            if survivors.isEmpty():
+                continue
+            found = store(verified(survivors, texts_of(survivors, texts)), "minhash-links")
+        else:
+            found = store(rest_links(told, sketch, texts), "minhash-links")
+            if found.isEmpty():
+                continue
         links = found if links is None else links.union(found)
         groups = components(links)
-        active = told.select("bucket", "id").join(heads.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti")
+    return links, groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sketch.where(F.col("id").isNotNull())
     classes = store(known.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("id").alias("rep")), "minhash-classes")
     one_each = classes.groupBy("rep").agg(F.min("same").alias("same")).select(F.col("rep").alias("id"), "same")
-    reps = known.join(one_each, ["id", "same"]).groupBy("id").agg(F.first("signature").alias("signature"))
+    reps = known.join(one_each, ["id", "same"]).groupBy("id").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     reps = store(reps, "minhash-reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     links, groups = linked(reps, texts)
@@ -212,3 +303,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose component is named after their id, one row per id; rows with null id stay.
+
+    Of rows that share a kept id, the one of least text hash stays.
+    """
+    found = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(found, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    again = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n"), F.min(F.xxhash64(text_col)).alias("_body")).where("n > 1")
+    again = store(again.select("_again", "_body"), "minhash-again")
+    if again.isEmpty():
+        return left
+    single = left.join(again, F.col(id_col) == F.col("_again"), "left_anti")
+    first = left.join(again, (F.col(id_col) == F.col("_again")) & (F.xxhash64(text_col) == F.col("_body")), "left_semi").dropDuplicates([id_col])
+    return single.unionByName(first)
