@@ -1,20 +1,23 @@
 """Personal data, and the words that give it away.  Only DataFrame functions.
 
 Direct identifiers (e-mail, IP address, card, phone) are found by pattern.  Whether a
-word nearby reveals one of them is read off the corpus: with N words in the corpus, a
-word's information on an entity is its pointwise mutual information
-``log2(n(word, entity) N / (n(word) n(entity)))``, where n(word, entity) counts
-occurrences of the word within ``REACH`` characters of the entity.  An entity's own
-information is ``log2(N / n(entity))``; the ratio of both is 1 if the word never occurs
-without the entity.  From ``REMOVE`` on the word is removed, from ``GENERALISE`` on it
-is replaced by its class (after Sanchez and Batet's C-sanitised documents).
+word reveals one of them is read off the corpus: of N rows, n(entity) hold the entity,
+n(word) the word and n(word, entity) both.  With ``P(entity) = n(entity) / N``, a row
+with the word holds the entity with the smoothed probability ``P(entity | word) =
+(n(word, entity) + PRIOR P(entity)) / (n(word) + PRIOR)``, and the word's information on
+the entity is ``log2(P(entity | word) / P(entity))``.  The entity's own is
+``-log2 P(entity)``; the ratio of both nears 1 if the word never occurs without the
+entity, also for an entity in a single row, and is 0 if they are independent.  From
+``REMOVE`` on the word is removed, from ``GENERALISE`` on it is replaced by its class
+(after Sanchez and Batet's C-sanitised documents).
 
 Definitions
 * Offsets are code points, the end exclusive.  Base matches are leftmost and do not
   overlap within a kind; one that fails its test is dropped without another try.
-* A word is a run of letters, ``LEAST_LETTERS`` at least, compared in lower case,
-  outside every base span.  A pair of word and entity counts only if ``LEAST_TEXTS``
-  different texts have it: a word seen once is no evidence.
+* A word is a run of letters, ``LEAST_LETTERS`` at least, compared in lower case.  One
+  that overlaps a base span is not marked, but counts in n(word).
+* Every occurrence of a word that gives away an entity is marked in every row that holds
+  the entity.  Where a row has several, the greatest ratio holds.
 * Entities are compared by kind and matched text, e-mail addresses in lower case.
 * Null and empty texts have no spans.  Rows are told apart by id and text; repeated rows
   get the same result, and count once for each row in the corpus counts.
@@ -22,7 +25,7 @@ Definitions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm import spans as S
@@ -39,8 +42,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 WORD = r"(?<!\p{L})\p{L}{4,}"
 LEAST_LETTERS = 4
-REACH = 60
-LEAST_TEXTS = 3
+#: Rows that the smoothing adds to those with a word.
+PRIOR = 1.0
 REMOVE = 0.9
 GENERALISE = 0.75
 TERM_KINDS = ("remove", "generalise")
@@ -73,35 +76,50 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def mentions(seen: DataFrame) -> DataFrame:
-    """(id, body, entity, term, a, z): the words around every base span of (id, body, text, base)."""
-    each = seen.where(F.size("base") > 0).select("id", "body", "text", "base", F.explode("base").alias("s"))
-    begin = F.greatest(F.lit(0), F.col("s.a") - REACH)
-    each = each.select(
-        "id", "body", "base", begin.alias("begin"), F.concat_ws(":", "s.kind", F.lower(F.substr("text", F.col("s.a") + 1, F.col("s.z") - F.col("s.a")))).alias("entity"),
-        # One character more on either side tells whether a word is cut off.
-        F.substr("text", begin + 1, F.col("s.z") + REACH - begin).alias("around"),
-    )
-    words = each.select("id", "body", "base", "begin", "entity", F.explode(S.found(F.col("around"), WORD)).alias("w"))
-    words = words.select("id", "body", "base", "entity", F.lower("w.m").alias("term"), (F.col("w.a") + F.col("begin")).alias("a"), (F.col("w.z") + F.col("begin")).alias("z"))
-    return words.where(~S.overlaps(F.col("base"), F.col("a"), F.col("z"))).select("id", "body", "entity", "term", "a", "z")
-
-
-def disclosing(near: DataFrame, entities: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(entity, term, ratio) of words that tell enough about an entity."""
-    pairs = near.groupBy("entity", "term", "body").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
-    pairs = store(pairs.where(F.col("texts") >= LEAST_TEXTS), "pii-pairs")
-    asked = store(pairs.select("term").distinct(), "pii-terms")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("term"))
-    count = store(words.join(asked.withColumn("wanted", F.lit(True)), "term", "left").groupBy(F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.count("*").alias("n")), "pii-counts")
-    total = count.agg(F.sum("n")).first()[0] or 0
-    own = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    known = pairs.join(count.where("term IS NOT NULL"), "term").join(own, "entity")
-    whole = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    # A word may stand near two mentions; it counts no more often than it occurs.
-    shared = F.log2(F.least("both", "n") * float(max(total, 2)) / (F.col("n") * F.col("n_entity")))
-    return known.select("entity", "term", (F.least(shared, whole) / F.greatest(whole, F.lit(1e-9))).alias("ratio")).where(F.col("ratio") >= GENERALISE)
+def entity_of(text: Column, span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(F.substr(text, span["a"] + 1, span["z"] - span["a"])))
+
+
+def words_of(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
+
+
+def places(held: DataFrame) -> DataFrame:
+    """(id, body, term, a, z): every word of (id, body, text, base) outside the base spans.
+
+    The lengths of gaps and words, summed along the text, are the places.
+    """
+    cut = F.zip_with(F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    each = held.select("id", "body", F.posexplode(cut).alias("k", "w")).select("id", "body", "k", F.col("w.gap").alias("gap"), F.col("w.m").alias("m"))
+    size = F.coalesce(F.length("m"), F.lit(0))
+    end = F.sum(F.col("gap") + size).over(Window.partitionBy("id", "body").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    words = each.withColumn("z", end).where("m IS NOT NULL").select("id", "body", F.lower("m").alias("term"), (F.col("z") - F.length("m")).alias("a"), "z")
+    return words.join(held.select("id", "body", "base"), ["id", "body"]).where(~S.overlaps(F.col("base"), F.col("a"), F.col("z"))).drop("base")
+
+
+def holders(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, id, body, n) and (class, n_entity): entities that the same rows hold are one class, as they have the same counts."""
+    each = held.select("id", "body", "n", F.explode("base").alias("s"), "text").select("id", "body", "n", entity_of(F.col("text"), F.col("s")).alias("entity")).distinct()
+    each = store(each, "pii-entities")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "id", "body")).cast("string") for k in range(2)]
+    sets = each.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.concat_ws(":", *marks, F.sum("n").cast("string")).alias("class"))
+    return each.join(sets, "entity").select("class", "id", "body", "n").distinct(), sets.select("class", "n_entity").distinct()
+
+
+def disclosing(found: DataFrame, held: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(id, body, term, ratio) of words that tell enough about an entity of their row."""
+    total = float(max(docs.count(), 2))
+    holding, own = holders(held)
+    pairs = store(found.select("id", "body", "term").distinct().join(holding, ["id", "body"]), "pii-pairs")
+    both = pairs.groupBy("class", "term").agg(F.sum("n").alias("both"))
+    # Each word once a row; folded before it meets the words that are asked for.
+    words = docs.select(F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_word"))
+    known = both.join(words.join(pairs.select("term").distinct(), "term", "left_semi"), "term").join(own, "class")
+    share = F.col("n_entity") / total
+    whole = -F.log2(share)
+    told = F.log2((F.col("both") + PRIOR * share) / ((F.col("n_word") + PRIOR) * share))
+    known = known.select("class", "term", (told / F.greatest(whole, F.lit(1e-9))).alias("ratio")).where(F.col("ratio") >= GENERALISE)
+    return pairs.join(known, ["class", "term"]).groupBy("id", "body", "term").agg(F.max("ratio").alias("ratio"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -116,11 +134,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     seen = rows.select("doc_id", F.col(key).alias("id"), F.col(body).alias("body"), text.alias("text"), base.alias("base"))
     # Only texts with personal data are kept for what follows.
     seen = store(seen.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
-    near = store(mentions(seen), "pii-near")
-    entities = seen.select(F.col("text"), F.explode("base").alias("s")).select(F.concat_ws(":", "s.kind", F.lower(F.substr("text", F.col("s.a") + 1, F.col("s.z") - F.col("s.a")))).alias("entity"))
-    told = disclosing(near, entities, rows, "text")
+    held = seen.where(F.size("base") > 0).groupBy("id", "body").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
+    held = store(held, "pii-held")
+    found = store(places(held), "pii-words")
+    told = disclosing(found, held, rows, "text")
     kind = F.when(F.col("ratio") >= REMOVE, F.lit(TERM_KINDS[0])).otherwise(F.lit(TERM_KINDS[1]))
-    terms = near.join(told, ["entity", "term"]).groupBy("id", "body", "a", "z").agg(F.max("ratio").alias("ratio"))
+    terms = found.join(told, ["id", "body", "term"])
     place = F.when(F.col("ratio") >= REMOVE, len(KINDS)).otherwise(len(KINDS) + 1)
     terms = terms.groupBy("id", "body").agg(F.collect_list(F.struct(place.alias("place"), "a", "z", kind.alias("kind"))).alias("terms"))
     out = seen.join(terms, ["id", "body"], "left")
