@@ -4,7 +4,7 @@ Some patterns are secrets by themselves (assignments, access keys, long hexadeci
 runs).  Others are parts that mean nothing alone: names of an account, random-looking
 strings, endpoints.  Parts are rows; an interval join brings together those whose scopes
 meet, and a weak part is reported only if its complement is there: an account or an
-endpoint with a secret, a random-looking string with an account or access key.
+endpoint with a secret, a random-looking string with an account, access key or endpoint.
 
 Definitions
 * Offsets are code points, the end exclusive.  Base matches are leftmost and do not
@@ -60,7 +60,7 @@ def linked(parts: DataFrame) -> DataFrame:
     ask = parts.where(F.col("kind").isin(*WEAK)).withColumn("stretch", F.explode(F.sequence(stretch - 1, F.floor(F.col("z") / SCOPE) + 1)))
     have = parts.select("id", "body", stretch.alias("stretch"), F.col("a").alias("a2"), F.col("z").alias("z2"), F.col("kind").alias("kind2"))
     near = ask.join(have, ["id", "body", "stretch"]).where((F.col("a2") < F.col("z") + SCOPE) & (F.col("a") < F.col("z2") + SCOPE))
-    key = F.col("kind2").isin("account", "access")
+    key = F.col("kind2").isin("account", "access", "endpoint")
     secret = F.col("kind2").isin("assign", "hex", "random")
     complement = F.when(F.col("kind") == "random", key).otherwise(secret)
     return near.where(complement).select("id", "body", "place", "a", "z", "kind").distinct()

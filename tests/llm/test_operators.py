@@ -242,6 +242,14 @@ def test_linked_parts(spark):
     assert found == {1: ["access", "random"], 2: [], 3: ["account", "assign", "endpoint"], 4: [], 5: ["access"]}
 
 
+def test_endpoint_and_secret(spark):
+    """Both parts of an endpoint with a random-looking string are reported, in either order; neither is without the other."""
+    weak, url = "Zq8vT3xK1mW7pL0sR5dN2bC9", "https://api.example.org/hook"
+    rows = [(1, f"{url} {weak}"), (2, f"{weak} for db.example.org:5432"), (3, f"{url} {'word ' * 200} {weak}")]
+    found = {r["doc_id"]: [(s["kind"], s["a"], s["z"]) for s in r["spans"]] for r in secret_links.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [("endpoint", 0, 28), ("random", 29, 53)], 2: [("random", 0, 24), ("endpoint", 29, 48)], 3: []}
+
+
 def labelled(n: int) -> list[tuple]:
     """(doc_id, text, lang, toxic, quality): noise in bad ones, slurs in toxic ones."""
     draw = random.Random(11)
