@@ -12,8 +12,9 @@ of the excess of its segments on that scale; a logistic curve fitted on the labe
 rows turns it into a probability.
 
 Sizes
-* Tokens fall in ``BUCKETS`` hash buckets, so the model has a fixed size (2 MB) and goes
-  to every task.  Its prior counts every document of the corpus.
+* Tokens are told apart by a hash of 64 bits, and counted and weighed in tables.  Only
+  those whose score is not ``-TOLL`` are looked up: up to ``MOST_TOKENS`` they are
+  broadcast (16 MB), beyond, the distinct tokens of each text are joined to them.
 * Labels are taken from all learning rows; their ids are broadcast up to
   ``MOST_BROADCAST``, beyond which both sides are shuffled.
 * The curve is fitted on ``FIT_ROWS`` learning rows at most, those of least hash.
@@ -39,9 +40,10 @@ from pyspark.sql import functions as F
 
 from colophon.llm import tokens as T
 from colophon.llm.kneser_ney import MOST_BROADCAST
+from colophon.llm.rows import fresh, keyed
 from colophon.workspace import store
 
-BUCKETS = 1 << 18
+MOST_TOKENS = 1_000_000
 #: Weight of the prior, in times of what is counted in the labelled documents.
 PRIOR = 0.05
 #: Standard deviations by which log-odds are drawn to nothing.
@@ -56,18 +58,27 @@ _LETTER[128:] = True
 
 
 class Model(NamedTuple):
-    scores: np.ndarray
+    table: DataFrame  # (token, score) where the score is not -TOLL
+    known: tuple[np.ndarray, np.ndarray] | None  # the same, by token; None if there are too many
     scale: float
     shift: float
     slope: float = 0.0
     intercept: float = 0.0
 
 
-def buckets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every token, and the first token of each document."""
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token, and the first token of each document."""
     data = T.LOWER[data]
     starts, ends, first = T.word_bounds(data, offsets, _LETTER)
-    return (T.span_hashes(data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64), first
+    return T.span_hashes(data, starts, ends).astype(np.uint64).view(np.int64), first
+
+
+def scored(token: np.ndarray, known: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The score of each token; ``known`` is in order."""
+    if not len(known):
+        return np.full(len(token), -TOLL)
+    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+    return np.where(known[at] == token, scores[at], -TOLL)
 
 
 def segments(scores: np.ndarray) -> list[float]:
@@ -100,58 +111,55 @@ def segments(scores: np.ndarray) -> list[float]:
     return [b - a for a, b in zip(left, right, strict=True)]
 
 
-def evidence(scores: np.ndarray, model: Model) -> tuple[float, float]:
+def evidence(scores: np.ndarray, scale: float, shift: float) -> tuple[float, float]:
     """(excess of all segments on the extreme-value scale, greatest segment)."""
     found = segments(scores)
     if not found:
         return 0.0, 0.0
-    level = model.shift + np.log(len(scores))
-    on_scale = model.scale * np.array(found) - level
+    level = shift + np.log(len(scores))
+    on_scale = scale * np.array(found) - level
     return float(np.maximum(on_scale, 0.0).sum()), max(found)
 
 
-def token_counts(docs: DataFrame, label: str | None = None) -> DataFrame:
-    """(bucket, n, toxic): documents with the token, and those of them with ``label`` 1."""
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(token, n, labelled, toxic): documents with the token, those of mark 0 or 1, those of mark 1; ``docs`` is (text, mark)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            marks = batch.column(1).to_numpy(zero_copy_only=False)
+            marks = batch.column(1).to_numpy()
             for begin, end, data, offsets in T.pieces(batch.column(0)):
-                at, first = buckets_of(data, offsets)
-                once = np.unique(np.repeat(np.arange(end - begin), np.diff(first)) * BUCKETS + at)
-                at, mark = once % BUCKETS, marks[begin:end][once // BUCKETS] == 1
-                for k, part in enumerate((at, at[mark])):
-                    seen, n = np.unique(part, return_counts=True)
-                    total[k, seen] += n
-        seen = np.flatnonzero(total[0])
-        for k in range(0, len(seen), 65536):
-            part = seen[k : k + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])], ["bucket", "n", "toxic"])
-
-    rows = docs.select("text", (F.col(label) if label else F.lit(0)).cast("long").alias("mark"))
-    return rows.mapInArrow(count, "bucket long, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-
-
-def dense(rows: DataFrame, *columns: str) -> list[np.ndarray]:
-    """Columns of a table with a row per bucket, at most BUCKETS, as arrays."""
-    frame, out = rows.toPandas(), []
-    for column in columns:
-        full = np.zeros(BUCKETS)
-        full[frame["bucket"]] = frame[column]
-        out.append(full)
-    return out
-
-
-def log_odds(corpus: np.ndarray, labelled: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(score of each bucket, its share of other text)."""
-    other = labelled - toxic
-    prior = PRIOR * labelled.sum() * (corpus + 1e-3) / (corpus + 1e-3).sum()
-    odds = lambda y: np.log(y + prior) - np.log(y.sum() + prior.sum() - y - prior)
-    delta = odds(toxic) - odds(other)
-    spread = np.sqrt(1 / (toxic + prior) + 1 / (other + prior))
-    drawn = np.sign(delta) * np.maximum(np.abs(delta) - CONFIDENCE * spread, 0)
-    return drawn - TOLL, (other + prior) / (other + prior).sum()
+                token, first = tokens_of(data, offsets)
+                if not len(token):
+                    continue
+                names, at = np.unique(token, return_inverse=True)
+                once = np.unique(np.repeat(np.arange(end - begin), np.diff(first)) * len(names) + at)
+                at, mark = once % len(names), marks[begin:end][once // len(names)]
+                counts = [pa.array(np.bincount(part, minlength=len(names))) for part in (at, at[mark >= 0], at[mark == 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(names), *counts], ["token", "n", "labelled", "toxic"])
+
+    rows = docs.select("text", F.col("mark").cast("long").alias("mark"))
+    return rows.mapInArrow(count, "token long, n long, labelled long, toxic long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "toxic")])
+
+
+def log_odds(counts: DataFrame) -> DataFrame:
+    """(token, drawn, share): log-odds drawn to nothing, and the token's share of other text."""
+    sums = counts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "labelled", "toxic")]).first()
+    size, every, labelled, toxic = (float(x) for x in sums)
+    whole = PRIOR * labelled
+    prior = F.lit(whole / max(every + 1e-3 * size, 1e-9)) * (F.col("n") + 1e-3)
+    other = F.col("labelled") - F.col("toxic")
+    odds = lambda y, total: F.log(y + prior) - F.log(F.greatest(F.lit(total + whole) - y - prior, F.lit(1e-9)))
+    delta = odds(F.col("toxic"), toxic) - odds(other, labelled - toxic)
+    spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (other + prior))
+    drawn = F.signum(delta) * F.greatest(F.abs(delta) - CONFIDENCE * spread, F.lit(0.0))
+    return counts.select("token", drawn.alias("drawn"), ((other + prior) / max(labelled - toxic + whole, 1e-9)).alias("share"))
+
+
+def scores_by_share(weighed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(score, share of other text), drawn together where scores differ by less than 0.001."""
+    rows = weighed.groupBy(F.round("drawn", 3).alias("at")).agg(F.sum("share").alias("share"), F.sum(F.col("share") * F.col("drawn")).alias("drawn")).toPandas()
+    share = rows["share"].to_numpy(dtype=float)
+    return rows["drawn"].to_numpy(dtype=float) / share - TOLL, share
 
 
 def karlin_scale(scores: np.ndarray, share: np.ndarray) -> float:
@@ -184,26 +192,52 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return max(0.0, float(a)), float(b)
 
 
+def with_scores(docs: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
+    """``docs`` (id, text, ...) with one more column: the (token, score) of ``table`` that occur in the text, in order."""
+    rows, key, body = keyed(docs, "id", column)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, _, data, offsets in T.pieces(batch.column(2)):
+                token, first = tokens_of(data, offsets)
+                for k in range(len(first) - 1):
+                    once = np.unique(token[first[k] : first[k + 1]])
+                    row = pa.array(np.full(len(once), begin + k))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(once)], [key, body, "token"])
+
+    each = rows.select(key, body, column).mapInArrow(split, f"{key} string, {body} long, token long").distinct()
+    found = each.join(table, "token").groupBy(key, body).agg(F.array_sort(F.collect_list(F.struct("token", "score"))).alias(name))
+    return rows.join(found, [key, body], "left").select(*docs.columns, name)
+
+
 def measured(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """``docs`` (id, text, ...) with evidence, best and tokens in place of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != column]
+    names, given = [c for c in docs.columns if c != column], fresh(docs.columns, "_scores")
+    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != column) + ", evidence double, best double, tokens long"
+    scale, shift = model.scale, model.shift
+    shared = None if model.known is None else docs.sparkSession.sparkContext.broadcast(model.known)
+    if shared is None:
+        docs = with_scores(docs, model.table, column, given)
+
+    def own(batch: pa.RecordBatch, row: int, token: np.ndarray) -> np.ndarray:
+        pairs = batch.column(given)[row].as_py() or []
+        return scored(token, np.array([x["token"] for x in pairs], dtype=np.int64), np.array([x["score"] for x in pairs], dtype=float))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             total, best, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
             for begin, end, data, offsets in T.pieces(batch.column(column)):
-                at, first = buckets_of(data, offsets)
-                scores = known.scores[at]
+                token, first = tokens_of(data, offsets)
+                scores = None if shared is None else scored(token, *shared.value)
                 for k in range(end - begin):
-                    total[begin + k], best[begin + k] = evidence(scores[first[k] : first[k + 1]], known)
+                    part = slice(first[k], first[k + 1])
+                    mine = own(batch, begin + k, token[part]) if scores is None else scores[part]
+                    total[begin + k], best[begin + k] = evidence(mine, scale, shift)
                 sizes[begin:end] = np.diff(first)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(total), pa.array(best), pa.array(sizes)], [*names, "evidence", "best", "tokens"]
             )
 
-    schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != column) + ", evidence double, best double, tokens long"
     return docs.mapInArrow(scan, schema)
 
 
@@ -221,10 +255,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     few = sum(kinds.values()) <= MOST_BROADCAST
     learning = docs.join(F.broadcast(known) if few else known, "id")
-    (corpus,) = dense(token_counts(docs), "n")
-    labelled, toxic = dense(token_counts(learning, "toxic"), "n", "toxic")
-    scores, share = log_odds(corpus, labelled, toxic)
-    model = Model(scores, karlin_scale(scores, share), 0.0)
+    mark = F.when(F.col("toxic").isNull(), -1).when(F.col("toxic") == 1, 1).otherwise(0)
+    marked = docs.join(F.broadcast(known) if few else known, "id", "left").select("text", mark.alias("mark"))
+    weighed = store(log_odds(store(token_counts(marked), "toxic-counts")), "toxic-weighed")
+    table = store(weighed.where("drawn <> 0").select("token", (F.col("drawn") - TOLL).alias("score")), "toxic-scores")
+    frame = table.toPandas().sort_values("token") if table.count() <= MOST_TOKENS else None
+    arrays = None if frame is None else (frame["token"].to_numpy(), frame["score"].to_numpy())
+    model = Model(table, arrays, karlin_scale(*scores_by_share(weighed)), 0.0)
     # K * tokens * exp(-lambda * x) segments above x are expected in other text: K from how many there are.
     fit = fit_rows(learning, model)
     other = fit[fit["toxic"] == 0]

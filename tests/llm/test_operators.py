@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colophon.llm import disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, repeated_bytes, secret_links, toxic_segments
+from colophon.llm import disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, repeated_bytes, secret_links, tokens, toxic_segments
 from colophon.llm.graph import components
 from colophon.llm.spans import written
 from tests.llm import plain
@@ -297,6 +297,27 @@ def test_toxicity_held_out(spark, docs):
     assert toxic_segments.train(frame, labels.where("toxic = 0")) is None
 
 
+def test_toxic_word_among_many(spark, monkeypatch):
+    """A clean word whose hash agrees with a slur's in 18 bits has a score of its own; joined and broadcast scores agree."""
+    slur = "zorbag"
+    names = [slur, *("".join(chr(97 + k // 26**j % 26) for j in range(4)) + "qq" for k in range(26**4)), *("".join(chr(97 + k // 26**j % 26) for j in range(4)) + "xkx" for k in range(26**4))]
+    data = np.frombuffer("".join(names).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(x) for x in names])
+    low = tokens.span_hashes(data, ends - [len(x) for x in names], ends) & np.uint64((1 << 18) - 1)
+    twins = [names[k] for k in np.flatnonzero(low == low[0])[1:3]]
+    assert twins
+    rows = [(k, t + (f" {slur} {slur}" if k % 6 == 0 else f" {twins[k % len(twins)]}"), int(k % 6 == 0)) for k, t in ((r[0], " ".join(w for w in r[1].split() if w.islower() and w not in ("zorbag", "quimblat", "vexnoll"))) for r in labelled(900))]
+    frame = spark.createDataFrame(rows, "id long, text string, toxic int")
+    found = []
+    for most in (toxic_segments.MOST_TOKENS, 0):
+        monkeypatch.setattr(toxic_segments, "MOST_TOKENS", most)
+        model = toxic_segments.train(frame.select("id", "text"), frame.select("id", "toxic"))
+        assert (model.known is None) == (most == 0)
+        found.append({r["id"]: r["score"] for r in toxic_segments.score(frame.select("id", "text"), model).collect()})
+    assert all((found[0][i] >= 0.5) == bool(toxic) for i, _, toxic in rows)
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][i] - found[1][i]) < 1e-9 for i in found[0])
+
+
 def test_maximal_segments():
     """Ruzzo and Tompa's own example."""
     scores = np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5], dtype=float)
