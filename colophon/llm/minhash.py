@@ -38,7 +38,7 @@ WORDS = 5
 BANDS, BAND_ROWS = 24, 5
 HASHES = BANDS * BAND_ROWS
 BATCH = 24
-#: Similarity of a link, in hundredths: 100 * |A & B| >= PERCENT * |A | B|.
+#: Similarity of a link where the caller names none, in hundredths: 100 * |A & B| >= PERCENT * |A | B|.
 PERCENT = 85
 #: Chance at each batch of giving up a pair that is similar enough.
 MISS = 1e-6
@@ -111,9 +111,9 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = HASH
     return need
 
 
-def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (u, v) whose signatures leave the threshold possible."""
-    need = least_matches()
+    need = least_matches(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +186,7 @@ def pivots(members: DataFrame, count: int) -> DataFrame:
     return ranked.where(F.col("place") <= count).select("bucket", "pivot", "d")
 
 
-def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The links (u, v) among members of a bucket that are not of one component.
 
     Members outside the component of the bucket's first member by rank are compared with
@@ -210,7 +210,7 @@ def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataF
     columns = ("band", "id", "c")
     left = told.where("outer").select("bucket", one.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("outer"), *columns)
     right = told.select("bucket", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("i"), two.alias("j"), F.lit(False).alias("outer"), *columns)
-    need = least_matches()
+    need = least_matches(percent)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         a, b = frame[frame["outer"]], frame[~frame["outer"]]
@@ -238,7 +238,7 @@ def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataF
             m, n = u[at : at + _PAIRS], v[at : at + _PAIRS]
             shared = (x[m].reshape(-1, BANDS, BAND_ROWS) == y[n].reshape(-1, BANDS, BAND_ROWS)).all(axis=2)
             here = shared.argmax(axis=1) == band
-            links += [(min(p[i], q[j]), max(p[i], q[j])) for i, j in zip(m[here], n[here], strict=True) if similar(ours[i], theirs[j])]
+            links += [(min(p[i], q[j]), max(p[i], q[j])) for i, j in zip(m[here], n[here], strict=True) if similar(ours[i], theirs[j], percent)]
         return pd.DataFrame(sorted(set(links)), columns=["u", "v"], dtype="int64") if links else nothing
 
     rows = left.union(right).join(known.drop("n_shingles"), "id")
@@ -251,7 +251,7 @@ def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked, "id", "left_semi")
 
 
-def linked(sketch: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def linked(sketch: DataFrame, texts: DataFrame, percent: int = PERCENT) -> tuple[DataFrame | None, DataFrame | None]:
     """Links (u, v) that connect all class representatives of a component, and their components; or None."""
     active, links, groups = store(buckets(sketch), "minhash-buckets"), None, None
     for count in (*PIVOTS, None):
@@ -266,15 +266,15 @@ def linked(sketch: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataF
         if count:
             tops = store(pivots(told, count), "minhash-pivots")
             pairs = told.join(tops, "bucket").where("c <> d").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-            pairs = likely(pairs, sketch)
+            pairs = likely(pairs, sketch, percent)
             # Pivots have been compared with all of their bucket.
             active = told.select("bucket", "band", "id", "rank").join(tops.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
             survivors = store(pairs, "minhash-likely")
             if survivors.isEmpty():
                 continue
-            found = store(verified(survivors, texts_of(survivors, texts)), "minhash-links")
+            found = store(verified(survivors, texts_of(survivors, texts), percent), "minhash-links")
         else:
-            found = store(rest_links(told, sketch, texts), "minhash-links")
+            found = store(rest_links(told, sketch, texts, percent), "minhash-links")
             if found.isEmpty():
                 continue
         links = found if links is None else links.union(found)
@@ -282,8 +282,8 @@ def linked(sketch: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataF
     return links, groups
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; sets of ``percent`` similarity or more are linked."""
     sketch = store(sketches(docs, id_col, text_col), "minhash-sketches")
     known = sketch.where(F.col("id").isNotNull())
     classes = store(known.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("id").alias("rep")), "minhash-classes")
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = known.join(one_each, ["id", "same"]).groupBy("id").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     reps = store(reps, "minhash-reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    links, groups = linked(reps, texts)
+    links, groups = linked(reps, texts, percent)
     named = sketch.join(classes, "same", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     if not known.select("id", "same").distinct().groupBy("id").count().where("count > 1").isEmpty():
         of_class = named.select(F.col("id").alias("u"), F.col("rep").alias("v")).where("u IS NOT NULL")
@@ -305,12 +305,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose component is named after their id, one row per id; rows with null id stay.
 
     Of rows that share a kept id, the one of least text hash stays.
     """
-    found = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    found = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(found, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
     again = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_again")).agg(F.count("*").alias("n"), F.min(F.xxhash64(text_col)).alias("_body")).where("n > 1")
     again = store(again.select("_again", "_body"), "minhash-again")

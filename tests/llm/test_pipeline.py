@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colophon.llm import kneser_ney
+from colophon.llm import kneser_ney, minhash
 from colophon.workspace import store
 from tests.llm import plain
 
@@ -54,6 +54,21 @@ def test_near_duplicate_stage(stages):
     assert texts(stages[3]) == [t for t in texts(stages[2]) if t[0] in kept]
 
 
+def test_near_duplicates_from_80(spark):
+    """At 80, texts of similarity 0.80 to 0.85 are near duplicates, those below are not."""
+    draw, rows, near = random.Random(3), [], 0
+    for k in range(40):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(100)]
+        other = base[: 91 - k % 8] + [f"v{draw.randrange(10**6)}" for _ in range(9 + k % 8)]
+        one, two = (plain.shingles(" ".join(x)) for x in (base, other))
+        near += 0.8 <= len(one & two) / len(one | two) < 0.85
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    kept = {x[0] for x in plain.near_duplicates(rows, 80) if x[3]}
+    found = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert near >= 5 and len(kept) > 40
+    assert {r["doc_id"] for r in found.collect()} == kept
+
+
 def test_decontamination_stage(spark, stages):
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     hit = {x[0] for x in plain.contamination(texts(stages[3]), items) if x[5]}
