@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, repeated_bytes, secret_links, spans, toxic_segments
+from colophon.llm import collocations, disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, repeated_bytes, secret_links, spans, token_files, toxic_segments, vector_codes
 from colophon.llm.rows import keyed
+from colophon.workspace import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by the score of their worst cut."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under codebooks trained on all of them."""
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, from the files they were written to."""
+    import public_tokenizers
+
+    path = new_folder(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.with_starts(token_files.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_decontamination": op2_decontamination,
@@ -112,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_embeddings": op9_embeddings,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_token_files": op13_token_files,
 }
 
 LINES_SQL = """
@@ -140,5 +163,54 @@ select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, m.c
 from embeddings e join least m on e.vec_id = m.node
 """
 
+PHRASES_SQL = """
+with d as (select doc_id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select doc_id, lang, unnest(ps) as piece, unnest(range(len(ps))) as at from (select doc_id, lang, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') as ps from d)),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') as ws from p),
+runs as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+         from w, (select unnest([1, 2, 3]) as k) where len(ws) >= k),
+f as materialized (select lang, k, phrase, count(*) as f from runs group by lang, k, phrase),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k > 1 and f >= 10),
+halves as materialized (select lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') as one, array_to_string(ws[j + 1:k], ' ') as two
+  from (select *, unnest(range(1, k)) as j from c)),
+cuts as (select h.lang, h.k, h.phrase, h.a, h.j, x.f as l, y.f as r, (1000000 * h.a::hugeint * h.a::hugeint) // (x.f::hugeint * y.f::hugeint) as score
+  from halves h join f x on x.lang = h.lang and x.phrase = h.one join f y on y.lang = h.lang and y.phrase = h.two),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inner_parts as (select lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase, a from c where k = 3),
+longer as (select lang, phrase, max(a) as most from inner_parts group by lang, phrase),
+kept as (select w.* from worst w left join longer g on w.lang = g.lang and w.phrase = g.phrase and w.k = 2 where g.most is null or 100 * g.most < 50 * w.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select r.lang, r.rank::bigint as rank, r.phrase, r.a, r.l, r.r, n.n::bigint as n, r.score::bigint as score from ranked r join n on r.lang = n.lang where r.rank <= 2000
+"""
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Product quantisation in whole numbers, one pair of tables per round."""
+    steps = [
+        "v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint) as q from embeddings "
+        "where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0)",
+        "parts as materialized (select vec_id, p, q[p * len(q) // 4 + 1:(p + 1) * len(q) // 4] as q from v, (select unnest(range(4)) as p))",
+        "b0 as materialized (select p, place - 1 as e, q as c from (select *, row_number() over (partition by p order by vec_id) as place from parts) where place <= 256)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} as materialized (select vec_id, parts.p as p, arg_min(e, d * 256 + e) as e, min(d) as d from (select vec_id, parts.p, parts.q, b.e, "
+            f"list_sum(list_transform(list_zip(parts.q, b.c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::bigint as d from parts join b{k} b on b.p = parts.p) parts group by vec_id, parts.p)"
+        )
+        if k < rounds:
+            steps.append(
+                f"s{k} as (select p, e, list(s order by i) as c from (select a.p, a.e, i, floor(sum(q[i]) / count(*)::double)::bigint as s "
+                f"from a{k} a join parts on parts.vec_id = a.vec_id and parts.p = a.p, (select unnest(range(1, 1 + (select max(len(q)) from parts))) as i) group by a.p, a.e, i) group by p, e)"
+            )
+            steps.append(f"b{k + 1} as materialized (select b.p, b.e, coalesce(s.c, b.c) as c from b{k} b left join s{k} s on s.p = b.p and s.e = b.e)")
+    return (
+        f"with {', '.join(steps)}, "
+        f"digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as h from b{rounds}), "
+        f"codes as (select vec_id, string_agg(lower(printf('%02x', e)), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by vec_id) "
+        "select c.vec_id, c.code, c.error, (sum(c.error) over (partition by v.label))::bigint as label_error, digest.h as codebooks_sha256 from codes c join v on v.vec_id = c.vec_id, digest"
+    )
+
+
 #: The other operators have no SQL; tests/llm compares them with brute force or held-out rows.
-ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op9_embeddings": VECTORS_SQL}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op9_embeddings": VECTORS_SQL, "op11_collocations": PHRASES_SQL, "op12_vector_codes": codes_sql()}
