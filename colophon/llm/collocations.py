@@ -40,7 +40,7 @@ SUPPORT, LONGEST, REPORTED = 10, 3, 2000
 SHARE = 50
 SCORE = 1_000_000
 #: Bytes of text of a shard, at most; whole documents only, a longer one is a shard of its own.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 #: Hashes of phrases sent to the tasks (32 MB).
 MOST_SENT = 4_000_000
 #: Languages whose numbers of words are sent to the tasks; others are mined at a support of one.
@@ -85,6 +85,21 @@ def phrase_hashes(languages: pa.Array, phrases: pa.Array) -> np.ndarray:
     return out
 
 
+def dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; keys are not negative."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()) >> (63 - bits):
+        return np.unique(keys, return_inverse=True)
+    # One sort of keys and places together takes a third of the time.
+    both = np.sort((keys << bits) | np.arange(len(keys)))
+    ordered, place = both >> bits, both & ((1 << bits) - 1)
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    code = np.empty(len(keys), dtype=np.int32)
+    code[place] = np.cumsum(first) - 1
+    return ordered[first], code
+
+
 class Shard:
     """The words of some documents, coded by language and word, and which follow each other in a piece."""
 
@@ -99,9 +114,9 @@ class Shard:
         self.languages, self.vocabulary = named.dictionary, words.dictionary
         of_doc = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.language = np.repeat(of_doc, np.diff(first))
-        spelled = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        spelled = words.indices.to_numpy(zero_copy_only=False)
         # A code per language and spelling, dense.
-        pairs, self.codes = np.unique(self.language * max(1, len(self.vocabulary)) + spelled, return_inverse=True)
+        pairs, self.codes = dense(self.language * max(1, len(self.vocabulary)) + spelled)
         self.pair_language, self.pair_word = np.divmod(pairs, max(1, len(self.vocabulary)))
         self.pair_hash = word_hashes(hashes(self.languages)[self.pair_language], hashes(self.vocabulary)[self.pair_word])
         piece = np.searchsorted(np.flatnonzero(_END[data]), starts)
@@ -126,14 +141,16 @@ class Shard:
             if known[k - 1] is not None and len(run):
                 run = np.where(np.append(np.isin(hashes, known[k - 1]), False)[run], run, -1)
             at = np.flatnonzero((run[:-1] >= 0) & (run[1:] >= 0) & self.goes_on[:-1])
-            pairs, key = np.unique(run[at] * span + self.codes[at + k], return_inverse=True)
+            keys = run[at].astype(np.int64) * span + self.codes[at + k]
+            pairs, key = dense(keys) if k + 1 < size else np.unique(keys, return_counts=True)
             before, after = np.divmod(pairs, span)
             words = np.concatenate([words[before], after[:, None]], axis=1)
+            if k + 1 == size:
+                return words, key, self.pair_language[words[:, 0]]
             hashes = joined_hash(hashes[before], self.pair_hash[after])
-            run = np.full(len(self.codes), -1)
+            run = np.full(len(self.codes), -1, dtype=np.int32)
             run[at] = key
-        counts = np.bincount(run[run >= 0], minlength=len(words))
-        return words, counts, self.pair_language[words[:, 0]]
+        return words, np.bincount(run, minlength=len(words)), self.pair_language[words[:, 0]]
 
     def hashes(self, words: np.ndarray) -> np.ndarray:
         out = self.pair_hash[words[:, 0]]

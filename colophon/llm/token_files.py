@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +50,22 @@ HEADER = 8
 
 #: Ids of a block.
 BLOCK = 16_384
-#: Ids of a segment, at most; some 4 MB as code words.
-SEGMENT = 128 * BLOCK
+#: Ids of a segment, at most; some 1 MB as code words.
+SEGMENT = 32 * BLOCK
 #: Bytes of text per file.
 FILE_BYTES = 32 << 20
 #: Bytes of text that are encoded at once, whole documents only.
-PIECE = 8 << 20
-#: Encoded words that a task remembers.
-MOST_KNOWN = 200_000
+PIECE = 4 << 20
+#: Encoded words that a task remembers, some 50 bytes each.
+MOST_KNOWN = 500_000
+#: Words encoded in one text.
+_TOGETHER = 1000
 
 _U = np.uint64
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
+_STOP = ~T.byte_class(without=".,;:!?")
+_LETTER = ~T.byte_class(without="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,18 +75,33 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     longer[:n] = ids
     selector = np.zeros(n, dtype=np.int64)
     # Later selectors hold more ids; what is beyond the end counts as zeros.
+    # What does not fit a selector fits no later one, whose ids are more and shorter.
+    alive = np.arange(n)
     for s in range(len(COUNTS) - 1, 0, -1):
-        wide = np.zeros(n + 61, dtype=np.int32)
-        np.cumsum(longer >> _U(WIDTHS[s]) != 0, out=wide[1:])
-        selector[wide[COUNTS[s] : COUNTS[s] + n] == wide[:n]] = s
-    steps, begins, i = COUNTS[selector].tolist(), [], 0
-    while i < n:
-        begins.append(i)
-        i += steps[i]
-    at = np.array(begins, dtype=np.int64)
+        wide = longer >> _U(WIDTHS[s]) != 0
+        if wide.any():
+            if 8 * len(alive) > n:
+                before = np.zeros(n + 61, dtype=np.int32)
+                np.cumsum(wide, out=before[1:])
+                fits = before[alive + COUNTS[s]] == before[alive]
+            else:
+                fits = ~wide[alive[:, None] + np.arange(COUNTS[s])].any(axis=1)
+            alive = alive[fits]
+        selector[alive] = s
+        if not len(alive):
+            break
+    # Words begin where one follows the other from the first id on: all places reached in
+    # 1, 2, 4, ... steps, instead of step by step.
+    begins, step = np.zeros(n + 1, dtype=bool), np.minimum(np.arange(n + 1) + np.append(COUNTS[selector], 0), n)
+    begins[0] = True
+    reached = 0
+    while reached < (reached := int(np.count_nonzero(begins))):
+        begins[step[begins]] = True
+        step = step[step]
+    at = np.flatnonzero(begins[:n])
     chosen = selector[at]
     words = chosen.astype(_U) << _U(60)
-    for s in np.unique(chosen):
+    for s in np.flatnonzero(np.bincount(chosen)):
         here = np.flatnonzero(chosen == s)
         if s == 0:
             words[here] = np.arange(len(here), dtype=_U)
@@ -104,7 +124,7 @@ def unpack(words: np.ndarray, exceptions: np.ndarray, first_words: np.ndarray, f
     place = begins - begins[first_words][of] + of * (block + 60) if blocks else begins
     flat = out.reshape(-1)
     payload = words & _U((1 << 60) - 1)
-    for s in np.unique(selector):
+    for s in np.flatnonzero(np.bincount(selector)):
         here = np.flatnonzero(selector == s)
         if s == 0:
             flat[place[here]] = exceptions[payload[here].astype(np.int64) + first_exceptions[of[here]]]
@@ -152,47 +172,84 @@ def segments(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.
 class Encoder:
     """Encodes columns of texts.  With ``words_alone``, every distinct word is encoded once.
 
-    A text may be cut before a single space between two visible ASCII characters where
-    the tokenizer never joins anything across it, as byte-level BPE with the usual pattern
-    does not: there every word with its leading space is a unit of its own.
+    A text may be cut before a single space between two visible ASCII characters, and
+    between an ASCII letter and one of ``.,;:!?``, where the tokenizer never joins anything
+    across, as byte-level BPE with the usual pattern does not: there every word with its
+    leading space is a unit of its own, and so is a line feed before such a space.  Words
+    are therefore encoded many in a text, with line feeds between them.
     """
 
     def __init__(self, tokenizer: str, words_alone: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words_alone, self.known = Tokenizer.from_str(tokenizer), words_alone, {}
-
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.known]
-        for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = found.ids
-        out = [self.known[w] for w in words]
+        self.tokenizer, self.words_alone = Tokenizer.from_str(tokenizer), words_alone
+        between = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.between = between[0] if words_alone and len(between) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.sizes, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids per word and ids of words that begin with a space, end visibly and hold no line feed."""
+        texts = ["\n".join(words[at : at + _TOGETHER]) for at in range(0, len(words), _TOGETHER)]
+        ids = [np.array([*e.ids, self.between], dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+        ends = np.flatnonzero(ids == self.between)
+        if len(ends) != len(words):
+            raise ValueError("this tokenizer does not take words alone")
+        return np.diff(ends, prepend=-1) - 1, ids[ids != self.between]
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Add ids of words that are not known; the place of each."""
+        if self.between is None:
+            order, found = np.arange(len(words)), [self._single(words.to_pylist())]
+        else:
+            plain = pc.and_(pc.match_substring_regex(words, r"^ [^\n]*[!-~]$"), pc.invert(pc.match_substring(words, "\n"))).to_numpy(zero_copy_only=False)
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            found = [self._plain(words.filter(pa.array(plain)).to_pylist()), self._single(words.filter(pa.array(~plain)).to_pylist())]
+        place = np.empty(len(words), dtype=np.int64)
+        place[order] = len(self.known) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(order))])
+        self.sizes = np.concatenate([self.sizes, *[n for n, _ in found]])
+        self.flat = np.concatenate([self.flat, *[f for _, f in found]])
+        return place
+
+    def _encoded(self, words: pa.Array) -> np.ndarray:
+        """The place of each distinct word among the known ones."""
         if len(self.known) > MOST_KNOWN or not self.words_alone:
-            self.known = {}
-        return out
+            self._forget()
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = self._learn(words.take(pa.array(new)))
+        return place
 
     def __call__(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, ids per row) of runs of rows; each row ends in ``end_id``."""
         for first, end, data, offsets in T.pieces(column, PIECE):
-            begins = offsets[:-1][np.diff(offsets) > 0]
-            if self.words_alone and len(data) > 2:
-                alone = np.flatnonzero((data[1:-1] == 32) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]) + 1
-                begins = np.union1d(begins, alone)
+            begins = np.zeros(len(data), dtype=bool)
+            begins[offsets[:-1][np.diff(offsets) > 0]] = True
+            if self.words_alone:
+                begins[1:-1] |= (data[1:-1] == 32) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]
+                begins[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
+            begins = np.flatnonzero(begins)
             edges = np.append(begins, len(data)).astype(np.int64)
             words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-            coded = self._encoded(words.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter(chain.from_iterable(coded), _U, int(sizes.sum()))
-            of = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            per_word = sizes[of]
+            of = self._encoded(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+            per_word = self.sizes[of]
             until = np.cumsum(per_word)
             total = int(until[-1]) if len(until) else 0
-            source = np.repeat((np.cumsum(sizes) - sizes)[of] - (until - per_word), per_word) + np.arange(total)
+            source = np.repeat((np.cumsum(self.sizes) - self.sizes)[of] - (until - per_word), per_word) + np.arange(total)
             before = np.append(0, until)[np.searchsorted(begins, offsets)]
             rows = end - first
-            ids = np.full(total + rows, end_id, dtype=_U)
-            ids[np.arange(total) + np.repeat(np.arange(rows), np.diff(before))] = flat[source]
+            ids = np.full(total + rows, end_id, dtype=np.uint32)
+            ids[np.arange(total) + np.repeat(np.arange(rows), np.diff(before))] = self.flat[source]
             yield first, end, ids, np.diff(before) + 1
 
 
