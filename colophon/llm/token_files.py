@@ -57,7 +57,7 @@ FILE_BYTES = 32 << 20
 #: Bytes of text that are encoded at once, whole documents only.
 PIECE = 4 << 20
 #: Encoded words that a task remembers, some 50 bytes each.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 250_000
 #: Words encoded in one text.
 _TOGETHER = 1000
 
