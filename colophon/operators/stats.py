@@ -20,9 +20,9 @@ from colophon.operators.hits import with_checks
 ROLLUP_KEYS = ("language", "format", "is_valid", "unique_form")
 
 
-def _rollup(rows: DataFrame) -> DataFrame:
+def _rollup(rows: DataFrame, *keys: str) -> DataFrame:
     k = F.col("k")
-    return rows.groupBy(*ROLLUP_KEYS).agg(
+    return rows.groupBy(*keys, *ROLLUP_KEYS).agg(
         F.count(k).alias("hits"),
         # An article is counted at its first hit, or at its only, empty row.
         F.count_if(k.isNull() | (k == 0)).alias("articles"),
@@ -30,26 +30,33 @@ def _rollup(rows: DataFrame) -> DataFrame:
     )
 
 
-def rollup_articles(scanned: DataFrame) -> DataFrame:
-    """Rollup of scanned articles (``language``, ``found``), hits and articles at once.
+def rollup_articles(scanned: DataFrame, *keys: str) -> DataFrame:
+    """Rollup of scanned articles (``language``, ``found``), hits and articles at once; per ``keys``, if any.
 
     Articles without a hit stay as a row of their own, so one pass gives the
     number of articles processed as well.
     """
-    rows = scanned.select("language", F.posexplode_outer("found").alias("k", "hit"))
-    hits = with_checks(rows.select("language", "k", F.col("hit.isbn").alias("isbn")))
+    rows = scanned.select(*keys, "language", F.posexplode_outer("found").alias("k", "hit"))
+    hits = with_checks(rows.select(*keys, "language", "k", F.col("hit.isbn").alias("isbn")))
     is_hit = F.col("k").isNotNull()
     return _rollup(
         hits.select(
+            *keys,
             "language",
             "k",
             F.when(is_hit, F.col("format")).alias("format"),
             F.when(is_hit, F.col("is_valid")).alias("is_valid"),
             C.strip_separators("isbn").alias("unique_form"),
-        )
+        ),
+        *keys,
     )
 
 
+def fold_rollups(rollups: DataFrame) -> DataFrame:
+    """One rollup of several, such as those of single dumps."""
+    return rollups.groupBy(*ROLLUP_KEYS).agg(*[F.sum(c).alias(c) for c in ("hits", "articles", "articles_with_isbn")])
+
+
 def rollup_hits(hits: DataFrame) -> DataFrame:
     """Rollup of a hits table; articles without a hit are not in it."""
     return _rollup(hits.withColumn("unique_form", C.strip_separators("isbn")))

@@ -52,6 +52,7 @@ def read_records(
     path: str,
     streaming: bool = False,
     without: tuple[str, ...] = (),
+    only: tuple[str, ...] | None = None,
     share: tuple[int, int] = (0, 1),
     files_per_batch: int | None = None,
 ) -> DataFrame:
@@ -59,7 +60,7 @@ def read_records(
 
     ``part`` and ``row_id`` together give the order of records in a dump; a stream
     cannot number its rows, so there ``row_id`` is NULL.  Dumps ``without`` are not
-    opened, and of ``share`` (k, n) only those that fall in the k-th of n shares.
+    opened, nor any but ``only`` those that are given, and of ``share`` (k, n) only those that fall in the k-th of n shares.
     A file that cannot be decompressed to its end fails the job that reads it.
     """
     reader = spark.readStream if streaming else spark.read
@@ -77,6 +78,8 @@ def read_records(
     name = F.col("dump").cast("string") if in_folder else meta["file_name"]
     if without:
         rows = rows.filter(~name.isin(*without))
+    if only is not None:
+        rows = rows.filter(name.isin(*only))
     if share[1] > 1:
         rows = rows.filter(F.pmod(F.xxhash64(name), F.lit(share[1])) == share[0])
     # Parts of a folder are ordered by name, byte ranges of a file by position.
@@ -236,16 +239,21 @@ def store_pages(
     return reduce(DataFrame.unionByName, parts), lost
 
 
+def dump_states(pages: DataFrame) -> DataFrame:
+    """``(dump_file, broken, ended)`` of the dumps that have a malformed page or an end."""
+    return pages.filter(F.col("kind") != "page").groupBy("dump_file").agg(
+        F.bool_or(F.col("kind") == "broken").alias("broken"),
+        F.bool_or(F.col("kind") == "end").alias("ended"),
+    )
+
+
 def failed_dumps(pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Dumps with a malformed page or without a proper end.
 
     ``files`` (file_name) names the dumps that should be there; one of which no record
     was read is a failed one.
     """
-    state = pages.filter(F.col("kind") != "page").groupBy("dump_file").agg(
-        F.bool_or(F.col("kind") == "broken").alias("broken"),
-        F.bool_or(F.col("kind") == "end").alias("ended"),
-    )
+    state = dump_states(pages)
     expected = pages.select("dump_file").distinct() if files is None else files.select(F.col("file_name").alias("dump_file")).distinct()
     fine = state.filter(~F.col("broken") & F.col("ended")).select("dump_file")
     return expected.join(fine, "dump_file", "left_anti")

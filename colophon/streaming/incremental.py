@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from colophon.functions import patterns as p
+from colophon.plans.ledger import GOOD, Ledger
 from colophon.operators.hits import find_isbns
 from colophon.operators.stats import articles_processed
 from colophon.sources import dumps as D
@@ -87,3 +88,30 @@ def read_article_counts(spark: SparkSession, output: str) -> DataFrame:
     rows = spark.read.parquet(output)
     newest = rows.agg(F.max("batch").alias("batch"))
     return rows.join(newest, "batch", "left_semi").select("language", "articles_processed")
+
+
+ARRIVALS = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+
+
+def follow_dumps(spark: SparkSession, dumps_dir: str, ledger: Ledger, checkpoint: str, files_per_batch: int | None = None) -> StreamingQuery:
+    """Commit all dumps that have arrived since the last run to ``ledger``, whole dumps only, then stop.
+
+    The stream is one of files, none of which it opens: each batch says which dumps have
+    arrived, and the ledger reads and judges them.  A dump without its end, or with parts
+    that are still to come, is read again when its files have changed and anything
+    arrives.  A batch that is repeated finds its dumps in the manifest.
+    """
+    reader = spark.readStream.format("binaryFile").schema(ARRIVALS).option("pathGlobFilter", p.DUMP_GLOB)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    inside = F.regexp_extract("path", "/dump=([^/]+)/[^/]*$", 1)
+    name = F.when(inside != "", F.url_decode(inside)).otherwise(F.element_at(F.split("path", "/"), -1))
+    arrived = reader.load(dumps_dir).select(name.alias("dump_file"))
+
+    def commit(rows: DataFrame, _batch: int) -> None:
+        # Names of files only, which the source holds in the driver as well.
+        names = {r["dump_file"] for r in rows.distinct().collect()}
+        unfinished = ledger.dumps().filter(F.col("state") != GOOD).select("dump_file").collect()
+        ledger.add(dumps_dir, names | {r["dump_file"] for r in unfinished})
+
+    return arrived.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
