@@ -47,7 +47,7 @@ MOST_SENT = 4_000_000
 MOST_LANGUAGES = 100_000
 #: Rows of frequent words that are broadcast to a join.
 MOST_BROADCAST = 1_000_000
-_ROWS = 1 << 16
+_ROWS = 1 << 14
 
 # What ends a piece, and what ends a word.
 PIECE_ENDS = ".,;:!?\n\v\f\r"
@@ -212,6 +212,8 @@ def mine(docs: DataFrame, size: int, known: list[np.ndarray | None], words: dict
                     [pc.cast(shard.languages.take(pa.array(of)), pa.string()), pc.cast(shard.spelled(found[part]), pa.string()), pa.array(counts[part], pa.int64()), pa.array(own[of], pa.int64())],
                     ["language", "phrase", "n", "own"],
                 )
+            del shard, found, counts, language, given
+            T.give_back()
 
     return docs.mapInArrow(run, "language string, phrase string, n long, own long")
 

@@ -50,14 +50,14 @@ HEADER = 8
 
 #: Ids of a block.
 BLOCK = 16_384
-#: Ids of a segment, at most; some 1 MB as code words.
-SEGMENT = 32 * BLOCK
+#: Ids of a segment, at most; some 500 KB as code words.
+SEGMENT = 16 * BLOCK
 #: Bytes of text per file.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 #: Bytes of text that are encoded at once, whole documents only.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Encoded words that a task remembers, some 50 bytes each.
-MOST_KNOWN = 250_000
+MOST_KNOWN = 150_000
 #: Words encoded in one text.
 _TOGETHER = 1000
 
@@ -293,8 +293,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                         if size == SEGMENT:
                             yield flushed()
                             names, counts, held, size = [], [], [], 0
+                            T.give_back()
         if names:
             yield flushed()
+        del encode, held
+        T.give_back()
 
     coded = dealt.select("id", "text").mapInArrow(code, "value binary")
     coded.select(F.col("value").cast("string")).write.mode("errorifexists").option("lineSep", END_MARK).option("compression", "none").text(path)
@@ -342,6 +345,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                         begin, at = begin + n, at + n
                 if held:
                     yield batch(held)
+                T.give_back()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     # Numbers, not names, are in order: a name has five digits at least.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,3 +119,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def spark_int64(x: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the signed numbers that Spark knows."""
     return x.view(np.int64)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Spark keeps idle workers, and they what they have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim is not None:
+        trim(0)
