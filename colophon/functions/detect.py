@@ -27,7 +27,7 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
 
-def _running_total(values: Column, block: int = 128) -> Column:
+def running_total(values: Column, block: int = 128) -> Column:
     """Inclusive running total of an int array, summed block by block.
 
     Blocks keep the cost near ``n * block`` where one flat pass over all
@@ -68,7 +68,7 @@ def candidate_starts(text: ColumnLike) -> Column:
     previous = F.concat(F.array(F.lit("")), candidate_values(text))
     steps = F.zip_with(gaps, previous, lambda gap, run: F.length(gap) + F.length(run))
     # The last step leads to the end of the text, not to a candidate.
-    return let(_running_total(steps), lambda s: F.slice(s, F.lit(1), F.size(s) - 1))
+    return let(running_total(steps), lambda s: F.slice(s, F.lit(1), F.size(s) - 1))
 
 
 def _window_pattern(before: int, after: int, lead: str = "") -> str:

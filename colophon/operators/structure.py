@@ -12,7 +12,7 @@ from colophon.functions.text import as_column, ColumnLike
 def xml_namespace(head: ColumnLike) -> Column:
     """Namespace declared at the very beginning of a dump, NULL when there is none."""
     # Up to the end of the first start tag, however long it is.
-    start = F.regexp_extract(as_column(head), r"\A[^<]*(?:<[?!][^>]*>[^<]*)*<[^>]*>", 0)
+    start = F.regexp_extract(as_column(head), r"\A[^<]*(?:<[?!][^>]*+>[^<]*+)*+<[^>]*>", 0)
     return F.nullif(F.regexp_extract(start, p.XML_NAMESPACE, 1), F.lit(""))
 
 
