@@ -40,7 +40,7 @@ SUPPORT, LONGEST, REPORTED = 10, 3, 2000
 SHARE = 50
 SCORE = 1_000_000
 #: Bytes of text of a shard, at most; whole documents only, a longer one is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 5 << 20
 #: Hashes of phrases sent to the tasks (32 MB).
 MOST_SENT = 4_000_000
 #: Languages whose numbers of words are sent to the tasks; others are mined at a support of one.
@@ -112,11 +112,10 @@ class Shard:
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data[_WORD[data]])).dictionary_encode()
         named = languages.combine_chunks().dictionary_encode()
         self.languages, self.vocabulary = named.dictionary, words.dictionary
-        of_doc = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.language = np.repeat(of_doc, np.diff(first))
+        self.language = np.repeat(named.indices.to_numpy(zero_copy_only=False), np.diff(first))
         spelled = words.indices.to_numpy(zero_copy_only=False)
         # A code per language and spelling, dense.
-        pairs, self.codes = dense(self.language * max(1, len(self.vocabulary)) + spelled)
+        pairs, self.codes = dense(self.language.astype(np.int64) * max(1, len(self.vocabulary)) + spelled)
         self.pair_language, self.pair_word = np.divmod(pairs, max(1, len(self.vocabulary)))
         self.pair_hash = word_hashes(hashes(self.languages)[self.pair_language], hashes(self.vocabulary)[self.pair_word])
         piece = np.searchsorted(np.flatnonzero(_END[data]), starts)
@@ -135,7 +134,7 @@ class Shard:
         ``known[k]`` are the sorted hashes of the phrases of k + 1 words that a longer one may
         begin and end with, or None for all.
         """
-        words, hashes, span = np.arange(len(self.pair_hash))[:, None], self.pair_hash, max(1, len(self.pair_hash))
+        words, hashes, span = np.arange(len(self.pair_hash), dtype=np.int32)[:, None], self.pair_hash, max(1, len(self.pair_hash))
         run = self.codes  # the phrase that begins at each word, or -1
         for k in range(1, size):
             if known[k - 1] is not None and len(run):
@@ -143,8 +142,9 @@ class Shard:
             at = np.flatnonzero((run[:-1] >= 0) & (run[1:] >= 0) & self.goes_on[:-1])
             keys = run[at].astype(np.int64) * span + self.codes[at + k]
             pairs, key = dense(keys) if k + 1 < size else np.unique(keys, return_counts=True)
+            del keys
             before, after = np.divmod(pairs, span)
-            words = np.concatenate([words[before], after[:, None]], axis=1)
+            words = np.concatenate([words[before], after[:, None].astype(np.int32)], axis=1)
             if k + 1 == size:
                 return words, key, self.pair_language[words[:, 0]]
             hashes = joined_hash(hashes[before], self.pair_hash[after])

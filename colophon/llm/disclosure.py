@@ -76,8 +76,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def entity_of(text: Column, span: Column) -> Column:
-    return F.concat_ws(":", span["kind"], F.lower(F.substr(text, span["a"] + 1, span["z"] - span["a"])))
+def entities_of(spans: dict[str, Column]) -> Column:
+    """The distinct entities of a text: kind and lower-cased match."""
+    return F.array_distinct(F.concat(*[F.transform(x, lambda m, kind=kind: F.concat_ws(":", F.lit(kind), F.lower(m["m"]))) for kind, x in spans.items()]))
 
 
 def words_of(text: Column) -> Column:
@@ -94,13 +95,13 @@ def places(held: DataFrame) -> DataFrame:
     size = F.coalesce(F.length("m"), F.lit(0))
     end = F.sum(F.col("gap") + size).over(Window.partitionBy("id", "body").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     words = each.withColumn("z", end).where("m IS NOT NULL").select("id", "body", F.lower("m").alias("term"), (F.col("z") - F.length("m")).alias("a"), "z")
-    return words.join(held.select("id", "body", "base"), ["id", "body"]).where(~S.overlaps(F.col("base"), F.col("a"), F.col("z"))).drop("base")
+    spans = held.select("id", "body", F.explode("base").alias("s")).select("id", "body", "s.a", "s.z")
+    return S.clear_of(words, spans)
 
 
 def holders(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class, id, body, n) and (class, n_entity): entities that the same rows hold are one class, as they have the same counts."""
-    each = held.select("id", "body", "n", F.explode("base").alias("s"), "text").select("id", "body", "n", entity_of(F.col("text"), F.col("s")).alias("entity")).distinct()
-    each = store(each, "pii-entities")
+    each = store(held.select("id", "body", "n", F.explode("entities").alias("entity")), "pii-entities")
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "id", "body")).cast("string") for k in range(2)]
     sets = each.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.concat_ws(":", *marks, F.sum("n").cast("string")).alias("class"))
     return each.join(sets, "entity").select("class", "id", "body", "n").distinct(), sets.select("class", "n_entity").distinct()
@@ -130,11 +131,13 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """
     rows, key, body = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    base = F.concat(*[S.tagged(x, kind, k) for k, (kind, x) in enumerate(base_spans(text).items())])
-    seen = rows.select("doc_id", F.col(key).alias("id"), F.col(body).alias("body"), text.alias("text"), base.alias("base"))
+    matched = rows.select("doc_id", F.col(key).alias("id"), F.col(body).alias("body"), text.alias("text"), *[x.alias(kind) for kind, x in base_spans(text).items()])
+    by_kind = {kind: F.col(kind) for kind in KINDS}
+    base = F.concat(*[S.tagged(x, kind, k) for k, (kind, x) in enumerate(by_kind.items())])
+    seen = matched.select("doc_id", "id", "body", "text", base.alias("base"), entities_of(by_kind).alias("entities"))
     # Only texts with personal data are kept for what follows.
     seen = store(seen.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-spans")
-    held = seen.where(F.size("base") > 0).groupBy("id", "body").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.count("*").alias("n"))
+    held = seen.where(F.size("base") > 0).groupBy("id", "body").agg(F.first("text").alias("text"), F.first("base").alias("base"), F.first("entities").alias("entities"), F.count("*").alias("n"))
     held = store(held, "pii-held")
     found = store(places(held), "pii-words")
     told = disclosing(found, held, rows, "text")

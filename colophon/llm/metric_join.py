@@ -182,7 +182,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     points = store(points, "metric-points")
     found = store(block_links(cells(points.select("group", "same", "rep", "times", "unit"))), "metric-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = points.select("rep", F.coalesce("least", F.lit(-1).cast("long")).alias("least")).where("least >= 0 OR least < -1")
+    named = points.select("rep", "least").where("least IS NOT NULL")
     edges = found.select("rep", "head").where("rep <> head").distinct()
     edges = edges.join(named, "rep").select(F.col("least").alias("u"), "head").join(named.withColumnRenamed("rep", "head"), "head").select("u", F.col("least").alias("v"))
     # One id may stand in several classes; it links them.

@@ -6,7 +6,8 @@ pivots, and connected members are not compared again.  A pair's signatures are c
 batch by batch; it is given up as soon as the posterior probability that its similarity
 reaches the threshold falls below ``miss``.  Survivors are verified on the full sets.
 In buckets whose members are then not one component, the others are compared in blocks
-with all members, so that every pair that is not connected otherwise has been compared.
+with all members, signatures first, so that every pair that is not connected otherwise
+has been compared.
 
 Definitions
 * ``A-Z`` are lower-cased; a word is a run without ASCII white space.
@@ -186,63 +187,102 @@ def pivots(members: DataFrame, count: int) -> DataFrame:
     return ranked.where(F.col("place") <= count).select("bucket", "pivot", "d")
 
 
-def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The links (u, v) among members of a bucket that are not of one component.
+def alive(x: np.ndarray, y: np.ndarray, apart: np.ndarray, band: int, need: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, matches) of the pairs of two tables of signatures that may be similar enough.
 
-    Members outside the component of the bucket's first member by rank are compared with
-    all members.  Both are dealt in blocks of bounded size; a task holds a block of
-    either, and gives only links.  A pair is looked at in the first band it shares.
+    Only pairs that are ``apart``, and of those the ones whose first common band is ``band``.
     """
+    matches = np.zeros((len(x), len(y)), dtype=np.int16)
+    for k in range(BATCH):
+        matches += x[:, k, None] == y[None, :, k]
+    u, v = np.nonzero((matches >= need[0]) & apart)
+    found = matches[u, v].astype(np.int64)
+    for k, least in enumerate(need[1:], start=1):
+        cut = slice(k * BATCH, (k + 1) * BATCH)
+        for at in range(0, len(u), _PAIRS):
+            part = slice(at, at + _PAIRS)
+            found[part] += (x[u[part], cut] == y[v[part], cut]).sum(axis=1)
+        left = found >= least
+        u, v, found = u[left], v[left], found[left]
+    here = np.zeros(len(u), dtype=bool)
+    for at in range(0, len(u), _PAIRS):
+        part = slice(at, at + _PAIRS)
+        shared = (x[u[part]].reshape(-1, BANDS, BAND_ROWS) == y[v[part]].reshape(-1, BANDS, BAND_ROWS)).all(axis=2)
+        here[part] = shared.argmax(axis=1) == band
+    return u[here], v[here], found[here]
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
 
-    ids = members.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    sets = texts_of(ids, texts).select("id", "text").mapInArrow(to_sets, "id long, shingles binary").dropDuplicates(["id"])
-    known = store(sketch.join(sets, "id"), "minhash-sets")
+def _sides(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Both blocks of a task, their signatures, and which pairs are of different components."""
+    a, b = frame[frame["outer"]], frame[~frame["outer"]]
+    x, y = (np.frombuffer(b"".join(f["signature"]), dtype=np.uint32).reshape(len(f), HASHES) for f in (a, b))
+    return a, b, x, y, a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]
+
+
+def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (u, v) that connect what is similar among members of a bucket that are not of one component.
+
+    Members outside the component of the bucket's first member by rank are compared with
+    all members, in blocks of bounded size.  First only signatures are dealt, and a block
+    gives the members that are left with a partner.  Then the sets of those are dealt
+    to the same blocks; there the likeliest pairs are verified first, and pairs that links
+    of the block have connected are not.  A pair is looked at in the first band it shares.
+    """
+    need = least_matches(percent)
     first = members.groupBy("bucket").agg(F.max_by("c", "rank").alias("d"))
-    told = members.join(first, "bucket").join(known.select("id", "n_shingles"), "id").withColumn("outer", F.col("c") != F.col("d"))
+    sizes = sketch.select("id", "n_shingles", "signature")
+    told = members.join(first, "bucket").join(sizes.select("id", "n_shingles"), "id").withColumn("outer", F.col("c") != F.col("d"))
     blocks = lambda x: F.ceil(F.greatest(F.sum(x) / BLOCK, F.sum(x * F.col("n_shingles")) / BLOCK_SHINGLES)).cast("int")
-    sizes = told.groupBy("bucket").agg(blocks(F.lit(1)).alias("blocks"), blocks(F.col("outer").cast("int")).alias("outer_blocks"))
-    told = told.drop("n_shingles").join(sizes.where("outer_blocks > 0"), "bucket")
+    counted = told.groupBy("bucket").agg(blocks(F.lit(1)).alias("blocks"), blocks(F.col("outer").cast("int")).alias("outer_blocks"))
+    told = told.drop("n_shingles").join(counted.where("outer_blocks > 0"), "bucket")
     one, two = F.pmod(F.xxhash64("id"), "outer_blocks").cast("int"), F.pmod(F.xxhash64("id"), "blocks").cast("int")
     columns = ("band", "id", "c")
     left = told.where("outer").select("bucket", one.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("outer"), *columns)
     right = told.select("bucket", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("i"), two.alias("j"), F.lit(False).alias("outer"), *columns)
-    need = least_matches(percent)
+    dealt = left.union(right)
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = frame[frame["outer"]], frame[~frame["outer"]]
-        nothing = pd.DataFrame({"u": np.zeros(0, dtype=np.int64), "v": np.zeros(0, dtype=np.int64)})
+    def partnered(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y, apart = _sides(frame)
         if not len(a) or not len(b):
-            return nothing
-        band = int(frame["band"].iloc[0])
-        x, y = (np.frombuffer(b"".join(f["signature"]), dtype=np.uint32).reshape(len(f), HASHES) for f in (a, b))
-        matches = np.zeros((len(a), len(b)), dtype=np.int16)
-        for k in range(BATCH):
-            matches += x[:, k, None] == y[None, :, k]
-        u, v = np.nonzero((matches >= need[0]) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]))
-        found = matches[u, v].astype(np.int64)
-        for k, least in enumerate(need[1:], start=1):
-            cut = slice(k * BATCH, (k + 1) * BATCH)
-            for at in range(0, len(u), _PAIRS):
-                part = slice(at, at + _PAIRS)
-                found[part] += (x[u[part], cut] == y[v[part], cut]).sum(axis=1)
-            alive = found >= least
-            u, v, found = u[alive], v[alive], found[alive]
-        p, q = a["id"].to_numpy(), b["id"].to_numpy()
-        ours, theirs = ([np.frombuffer(w, dtype=np.uint64) for w in f["shingles"]] for f in (a, b))
-        links = []
-        for at in range(0, len(u), _PAIRS):
-            m, n = u[at : at + _PAIRS], v[at : at + _PAIRS]
-            shared = (x[m].reshape(-1, BANDS, BAND_ROWS) == y[n].reshape(-1, BANDS, BAND_ROWS)).all(axis=2)
-            here = shared.argmax(axis=1) == band
-            links += [(min(p[i], q[j]), max(p[i], q[j])) for i, j in zip(m[here], n[here], strict=True) if similar(ours[i], theirs[j], percent)]
-        return pd.DataFrame(sorted(set(links)), columns=["u", "v"], dtype="int64") if links else nothing
-
-    rows = left.union(right).join(known.drop("n_shingles"), "id")
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+            return frame.iloc[:0].drop(columns="signature")
+        u, v, _ = alive(x, y, apart, int(frame["band"].iloc[0]), need)
+        return pd.concat([a.iloc[np.unique(u)], b.iloc[np.unique(v)]]).drop(columns="signature")
+
+    schema = "bucket long, i int, j int, outer boolean, band int, id long, c long"
+    signed = dealt.join(sizes.select("id", "signature"), "id").select("bucket", "i", "j", "outer", *columns, "signature")
+    kept = store(signed.groupBy("bucket", "i", "j").applyInPandas(partnered, schema), "minhash-partnered")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
+
+    def connect(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, x, y, apart = _sides(frame)
+        links: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            u, v, matches = alive(x, y, apart, int(frame["band"].iloc[0]), need)
+            p, q, c, d = (f[k].tolist() for k, f in (("id", a), ("id", b), ("c", a), ("c", b)))
+            ours, theirs = ([np.frombuffer(w, dtype=np.uint64) for w in f["shingles"]] for f in (a, b))
+            up: dict[int, int] = {}
+
+            def top(node: int) -> int:
+                while (above := up.get(node, node)) != node:
+                    up[node] = up.get(above, above)
+                    node = above
+                return node
+
+            order = np.argsort(-matches, kind="stable")
+            for i, j in zip(u[order].tolist(), v[order].tolist(), strict=True):
+                m, n = top(c[i]), top(d[j])
+                if m != n and similar(ours[i], theirs[j], percent):
+                    up[max(m, n)] = min(m, n)
+                    links.append((min(p[i], q[j]), max(p[i], q[j])))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    ids = kept.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    sets = texts_of(ids, texts).select("id", "text").mapInArrow(to_sets, "id long, shingles binary").dropDuplicates(["id"])
+    known = store(sizes.join(sets, "id").drop("n_shingles"), "minhash-sets")
+    return kept.join(known, "id").groupBy("bucket", "i", "j").applyInPandas(connect, "u long, v long").distinct()
 
 
 def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ KINDS = ("assign", "access", "hex")
 #: Weak parts: an account's name, a string of mixed characters, a host that is called.
 ACCOUNT = r"""(?i:client_?id|key_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,})"""
 RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
-ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}"""
+ENDPOINT = r"""https?://[^\s"'<>]{4,}|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}"""
 WEAK = ("account", "random", "endpoint")
 SCOPE = 300
 
@@ -43,23 +43,21 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": S.found(text, ASSIGN, value), "access": S.found(text, ACCESS, lambda m: F.length(m) >= 20), "hex": S.found(text, HEX)}
 
 
-def weak_spans(text: Column, base: Column) -> Column:
+def weak_spans(text: Column) -> Column:
     mixed = lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
     found = (S.found(text, ACCOUNT), S.found(text, RANDOM, mixed), S.found(text, ENDPOINT))
-    every = F.concat(*[S.tagged(x, kind, len(KINDS) + k) for k, (kind, x) in enumerate(zip(WEAK, found, strict=True))])
-    return F.filter(every, lambda x: ~S.overlaps(base, x["a"], x["z"]))
+    return F.concat(*[S.tagged(x, kind, len(KINDS) + k) for k, (kind, x) in enumerate(zip(WEAK, found, strict=True))])
 
 
 def linked(parts: DataFrame) -> DataFrame:
     """The weak rows of (id, body, place, a, z, kind) with a complement within reach.
 
-    Joined by document and stretch of SCOPE characters.  A stretch holds as many parts
-    as fit its length, so no document makes more than a fixed number of pairs per part.
+    Joined by document and stretch of text.  A stretch holds as many parts as fit its
+    length, so no document makes more than a fixed number of pairs per part.
     """
-    stretch = F.floor(F.col("a") / SCOPE)
-    ask = parts.where(F.col("kind").isin(*WEAK)).withColumn("stretch", F.explode(F.sequence(stretch - 1, F.floor(F.col("z") / SCOPE) + 1)))
-    have = parts.select("id", "body", stretch.alias("stretch"), F.col("a").alias("a2"), F.col("z").alias("z2"), F.col("kind").alias("kind2"))
-    near = ask.join(have, ["id", "body", "stretch"]).where((F.col("a2") < F.col("z") + SCOPE) & (F.col("a") < F.col("z2") + SCOPE))
+    ask = S.on_stretches(parts.where(F.col("kind").isin(*WEAK)), reach=SCOPE)
+    have = parts.select("id", "body", F.col("a").alias("a2"), F.col("z").alias("z2"), F.col("kind").alias("kind2"))
+    near = ask.join(S.on_stretches(have, "a2", "z2"), ["id", "body", "stretch"]).where((F.col("a2") < F.col("z") + SCOPE) & (F.col("a") < F.col("z2") + SCOPE))
     key = F.col("kind2").isin("account", "access", "endpoint")
     secret = F.col("kind2").isin("assign", "hex", "random")
     complement = F.when(F.col("kind") == "random", key).otherwise(secret)
@@ -72,10 +70,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce("text", F.lit(""))
     base = F.concat(*[S.tagged(x, kind, k) for k, (kind, x) in enumerate(base_spans(text).items())])
     seen = rows.select("doc_id", F.col(key).alias("id"), F.col(body).alias("body"), "text", base.alias("base"))
-    seen = store(seen.select("doc_id", "id", "body", "base", weak_spans(text, F.col("base")).alias("weak")), "secret-spans")
+    seen = store(seen.select("doc_id", "id", "body", "base", weak_spans(text).alias("weak")), "secret-spans")
     # A weak part alone in its document has no complement.
     some = seen.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
-    parts = some.select("id", "body", F.explode(F.concat("base", "weak")).alias("p")).select("id", "body", "p.*").distinct()
+    strong = some.select("id", "body", F.explode("base").alias("p")).select("id", "body", "p.*").distinct()
+    weak = some.select("id", "body", F.explode("weak").alias("p")).select("id", "body", "p.*").distinct()
+    parts = store(strong.unionByName(S.clear_of(weak, strong)), "secret-parts")
     kept = linked(parts).groupBy("id", "body").agg(F.collect_list(F.struct("place", "a", "z", "kind")).alias("more"))
     out = seen.join(kept, ["id", "body"], "left")
     every = F.concat("base", F.coalesce("more", F.expr("array()").cast("array<struct<place:int,a:int,z:int,kind:string>>")))
