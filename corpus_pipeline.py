@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from colophon.llm import kneser_ney, line_dedup, minhash, mixing, phrase_index
 from colophon.workspace import store
 
+#: Similarity of near duplicates, in hundredths.
+PERCENT = 80
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; documents without words are nobody's duplicate."""
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, percent=PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
