@@ -151,14 +151,11 @@ def deduplicate_isbns(isbns: DataFrame, order: tuple[str, ...], isbn_col: str =
     of whole numbers is folded by hash; any other one is sorted first.
     """
     normalized = C.normalize_isbn(isbn_col).alias("normalized")
-    if not P.fits(isbns, order):
-        position = F.struct(*order)
-        first = isbns.groupBy(normalized).agg(
-            F.min(F.struct(position.alias("at"), F.col(isbn_col).alias("isbn"))).alias("first")
-        )
-        return first.orderBy("first.at").select("normalized", "first.isbn", "first.at.*")
-    spelled = isbns.groupBy(normalized, F.col(isbn_col).alias("isbn")).agg(F.min(P.packed(isbns, order)).alias("at"))
-    least = spelled.groupBy("normalized").agg(F.min("at").alias("least")).withColumnRenamed("normalized", "of")
-    # The order is total, so the least place belongs to one spelling.
-    first = spelled.join(least, F.col("normalized").eqNullSafe(F.col("of")) & (F.col("at") == F.col("least"))).orderBy("at")
-    return first.select("normalized", "isbn", *P.unpacked(isbns, order, "at"))
+    spelling = [normalized, F.col(isbn_col).alias("isbn")]
+    if P.fits(isbns, order):
+        spelled = isbns.groupBy(*spelling).agg(F.min(P.packed(isbns, order)).alias("at"))
+        first = spelled.groupBy("normalized").agg(F.min(F.struct("at", "isbn")).alias("first")).orderBy("first.at")
+        return first.select("normalized", "first.isbn", *P.unpacked(isbns, order, "first.at"))
+    spelled = isbns.groupBy(*spelling).agg(F.min(F.struct(*order)).alias("at"))
+    first = spelled.groupBy("normalized").agg(F.min(F.struct("at", "isbn")).alias("first")).orderBy("first.at")
+    return first.select("normalized", "first.isbn", "first.at.*")

@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from colophon.operators import structure as X
 from colophon.plans import ledger as L
 from colophon.plans.audit import run_audit
 from colophon.streaming.incremental import follow_dumps
@@ -195,3 +196,25 @@ def test_a_dump_in_parts_counts_when_all_parts_are_there(spark, store, folder, t
     follow_dumps(spark, str(dumps), store, str(tmp_path / "state")).awaitTermination()
     assert store.scanned().count() == 4
     assert store.scanned().agg(F.countDistinct("dump_file")).first()[0] == 1
+
+
+def test_elements_of_many_dumps(spark):
+    """More dumps than bits of a word."""
+    rows = [(f"d{k:03d}", f"<a><{'b' if k % 2 else 'c'}/><x{k // 50}/></a>") for k in range(140)]
+    matrix = X.structure_matrix(spark.createDataFrame([*rows, *rows], "dump string, xml string"), "xml", "dump")
+    got = {r["element"]: r["dumps"] for r in X.dumps_of(matrix).collect()}
+    want = {"a": [d for d, _ in rows]}
+    for d, xml in rows:
+        for name in ("b", "c", "x0", "x1", "x2"):
+            if f"<{name}/>" in xml:
+                want.setdefault(name, []).append(d)
+    assert got == want
+    sides = {r["element"]: r["side"] for r in X.compare_by_matrix(matrix, "d001", "d130").collect()}
+    assert sides == {"a": "common", "b": "only_in_first", "x0": "only_in_first", "c": "only_in_second", "x2": "only_in_second"}
+    assert X.compare_by_matrix(matrix, "d001", "gone").where("side <> 'only_in_first'").isEmpty()
+
+
+def test_a_prolog_of_many_declarations(spark):
+    head = "<!a>" * 50_000 + '<mediawiki xmlns="http://n/">'
+    df = spark.createDataFrame([("one", head), ("two", "<!a>" * 50_000)], "file_name string, head string")
+    assert {r["file_name"]: r["namespace"] for r in X.dump_namespaces(df).collect()} == {"one": "http://n/", "two": None}

@@ -15,11 +15,12 @@ from colophon.operators import structure as X
 from colophon.plans.audit import run_audit
 from colophon.plans.failures import analyze_invalid_isbns
 from colophon.plans.fetch_list import fetch_list
+from colophon.plans.ledger import Ledger
 from colophon.sources import dumps as D
 from colophon.sources.failed_csv import read_failed_csv, write_failed_csv
 from colophon.sources.inventory import read_heads, read_inventory, with_codes
 from colophon.sources.reports import pass_rates, read_reports, write_report
-from colophon.streaming.incremental import append_new_hits, read_article_counts, update_article_counts
+from colophon.streaming.incremental import append_new_hits, follow_dumps, read_article_counts, update_article_counts
 from colophon.workspace import new_folder, spread
 from workload import oracle as O
 from workload import fixtures as W
@@ -704,3 +705,116 @@ def stream_article_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, checkpoint = new_folder(spark, "stream-counts"), new_folder(spark, "stream-state")
     update_article_counts(spark, W.dumps(spark, sf_dir), output, checkpoint).awaitTermination()
     return read_article_counts(spark, output)
+
+
+# -- the growing ledger ------------------------------------------------------------
+
+
+def followed(spark: SparkSession, dumps_dir: str) -> Ledger:
+    """The ledger of a stream that takes the dumps of a folder in several batches."""
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    follow_dumps(spark, dumps_dir, ledger, new_folder(spark, "ledger-state"), files_per_batch=3).awaitTermination()
+    return ledger
+
+
+@query(
+    f"""with {DUMP_HITS} select language, title, url, k, isbn, normalized, format, context, is_valid from hits
+    where language not in (select language from ({W.ARTICLES}) b where {DAMAGED})"""
+)
+def stream_drop_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a stream over dumps one of which has malformed pages: whole dumps only."""
+    return followed(spark, W.dumps(spark, sf_dir, DAMAGED)).hits().drop("dump_file", "part", "row_id")
+
+
+@query(f"with {DUMP_HITS} {O.TOTALS}")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals folded from the partial counts of several batches."""
+    return followed(spark, W.dumps(spark, sf_dir)).totals()
+
+
+@query(f"with {DUMP_HITS} {O.TOTALS}")
+def resumed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of an audit that took one dump first and the others in a second run, each dump once."""
+    path, folder = W.dumps(spark, sf_dir), new_folder(spark, "ledger")
+    first = Ledger(spark, folder).add(path, [f"enwiki-{W.DUMP_DATE}-pages-articles-multistream.xml.bz2"])
+    second = Ledger(spark, folder)
+    if not first or set(first) & set(second.add(path)):
+        raise RuntimeError("a dump was read twice")
+    return second.totals()
+
+
+@query(
+    f"""select language, concat(language, 'wiki-{W.DUMP_DATE}-pages-articles-multistream.xml.bz2') as dump_file,
+    case when bool_or({DAMAGED}) then 'broken' else 'good' end as state from ({W.ARTICLES}) a group by language"""
+)
+def dump_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state in which the ledger found each dump."""
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    ledger.add(W.dumps(spark, sf_dir, DAMAGED))
+    return ledger.dumps().select("language", "dump_file", "state")
+
+
+@query(
+    f"""select concat(language, 'wiki-{W.DUMP_DATE}-pages-articles-multistream.xml.bz2') as dump_file,
+    count(*) as articles, true as has_speed from ({W.DUMP_ARTICLES}) a group by language"""
+)
+def observed_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of each dump as observed in the pass that writes the ledger, and whether its speed follows from them."""
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    ledger.add(W.dumps(spark, sf_dir), share_bytes=1)
+    speed = ledger.speed().where(F.abs(F.col("articles_per_second") * F.col("seconds") - F.col("articles")) < 1e-3 * F.col("articles"))
+    found = ledger.dumps().select("dump_file", "batch", "articles").join(speed.select("batch", F.lit(True).alias("has_speed")), "batch", "left")
+    return found.select("dump_file", "articles", F.coalesce("has_speed", F.lit(False)).alias("has_speed"))
+
+
+@query(
+    f"""with {DUMP_HITS} select language, count(distinct unique_form) filter (where is_valid) as unique_valid,
+    count(distinct unique_form) filter (where not is_valid) as unique_invalid, true as within_bound from hits group by language"""
+)
+def sketched_uniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct ISBNs of each language, and whether the united sketches of its dumps come within 5 %."""
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    ledger.add(W.dumps(spark, sf_dir), share_bytes=1)
+    about = ledger.approx_uniques("language").select("language", *[F.col(f"unique_{c}").alias(c) for c in ("valid", "invalid")])
+    exact = S.language_breakdown(ledger.rollup()).select("language", "unique_valid", "unique_invalid").join(about, "language")
+    near = [F.abs(F.col(c) - F.col(f"unique_{c}")) <= 1 + 0.05 * F.col(f"unique_{c}") for c in ("valid", "invalid")]
+    return exact.select("language", "unique_valid", "unique_invalid", (near[0] & near[1]).alias("within_bound"))
+
+
+@query(f"with {DUMP_HITS} select title, k, isbn, is_valid from hits where language = 'de'")
+def hits_of_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of one language, from its folder of the ledger alone."""
+    ledger = Ledger(spark, new_folder(spark, "ledger"))
+    ledger.add(W.dumps(spark, sf_dir))
+    return ledger.hits("de").select("title", "k", "isbn", "is_valid")
+
+
+@query(
+    f"""select element, string_agg(distinct side, ',' order by side) as dumps, count(distinct side) as n_dumps from (
+      select language as side, unnest(['mediawiki', 'siteinfo', 'sitename']) as element from ({W.ARTICLES}) a
+      union all
+      select language, unnest(case when page_id % 11 = 0 then ['redirect'] else [] end
+        || ['page', 'title', 'ns', 'revision', 'text']) from ({W.ARTICLES}) a) e group by element"""
+)
+def structure_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which dumps each element occurs, from one bitmap per element over all dumps."""
+    records = D.read_records(spark, W.dumps(spark, sf_dir))
+    named = records.select(C.dump_language("dump_file").alias("dump"), "value")
+    matrix = X.structure_matrix(named, "value", "dump")
+    return X.dumps_of(matrix).select("element", F.array_join("dumps", ",").alias("dumps"), F.col("n_dumps").cast("long"))
+
+
+@query(
+    f"""select element, case when bool_or(side = 'fr') and bool_or(side = 'de') then 'common'
+    when bool_or(side = 'fr') then 'only_in_first' else 'only_in_second' end as side from (
+      select language as side, unnest(['mediawiki', 'siteinfo', 'sitename']) as element from ({W.ARTICLES}) a
+      union all
+      select language, unnest(case when page_id % 11 = 0 then ['redirect'] else [] end
+        || ['page', 'title', 'ns', 'revision', 'text']) from ({W.ARTICLES}) a) e
+    where side in ('fr', 'de') group by element"""
+)
+def compared_by_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of all dumps compared by their bits, without reading them again."""
+    records = D.read_records(spark, W.dumps(spark, sf_dir))
+    matrix = X.structure_matrix(records.select(C.dump_language("dump_file").alias("dump"), "value"), "value", "dump")
+    return X.compare_by_matrix(matrix, "fr", "de")
