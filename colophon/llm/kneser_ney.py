@@ -123,7 +123,15 @@ def line_of(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 
 def longer_keys(keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Keys of n-grams from those of their suffixes and the symbols ahead."""
-    return T.mix(keys + symbols * _ODD + _U(1))
+    x = symbols * _ODD
+    x += keys
+    x += _U(1)
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def seeds(folds: np.ndarray) -> np.ndarray:
@@ -253,15 +261,34 @@ def with_keys(values: DataFrame, unit: Unit) -> DataFrame:
     return values.select("n", "fold", "g", "v").mapInArrow(number, "n int, key long, suffix long, v double")
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each is among sorted ``keys``, and where."""
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool), at
+class Table:
+    """Numbers by 64-bit keys, found by the upper bits of a key and then one by one."""
 
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.shift = _U(64 - bits)
+        # One more key and value, so that every place can be looked at.
+        self.keys, self.values = np.append(keys[order], _U(0)), np.append(values[order], values.dtype.type(0))
+        self.first = np.searchsorted(keys[order] >> self.shift, np.arange((1 << bits) + 1, dtype=_U)).astype(np.int32)
 
-def frequent(model: Model) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """By order, (sorted keys, sums of V over an n-gram and its suffixes) of n-grams that occur ``least`` times, and ``least``.
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each is among the keys, and where."""
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at = self.first[bucket]
+        end = self.first[bucket + 1]
+        hit = (self.keys[at] == wanted) & (at < end)
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            found = self.keys[at[left]] == wanted[left]
+            hit[left[found]] = True
+            left = left[~found & (at[left] + 1 < end[left])]
+        return hit, at
+
+
+def frequent(model: Model) -> tuple[list[Table], int]:
+    """By order, sums of V over an n-gram and its suffixes, of n-grams that occur ``least`` times, and ``least``.
 
     ``least`` is a power of two such that there are ``MOST_SENT`` of them at most.  A suffix
     occurs as often as what it ends, so it is among them as well.
@@ -274,16 +301,15 @@ def frequent(model: Model) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
         many += levels.get(least, 0)
     sent = with_keys(model.values.where(F.col("r") >= (1 << min(least, 62))), model.unit).toArrow()
     order, key, suffix, v = (sent.column(c).to_numpy() for c in ("n", "key", "suffix", "v"))
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[Table] = []
     for k in range(1, model.unit.order + 1):
         here = np.flatnonzero(order == k)
-        here = here[np.argsort(key[here].view(_U))]
         total = v[here].copy()
         if out:
-            known, at = _find(out[-1][0], suffix[here].view(_U))
-            total[known] += out[-1][1][at[known]]
-        out.append((key[here].view(_U), total))
-    return [(keys, total.astype(np.float32)) for keys, total in out], 1 << min(least, 62)
+            known, at = out[-1].find(suffix[here].view(_U))
+            total[known] += out[-1].values[at[known]]
+        out.append(Table(key[here].view(_U), total.astype(np.float32)))
+    return out, 1 << min(least, 62)
 
 
 def scores(texts: DataFrame, model: Model) -> DataFrame:
@@ -313,8 +339,8 @@ def scores(texts: DataFrame, model: Model) -> DataFrame:
                     keys.append(key)
                 gain, reached, left = np.zeros(len(at)), np.zeros(len(at), dtype=np.int8), np.arange(len(at))
                 for k in range(unit.order, 0, -1):
-                    hit, place = _find(known[k - 1][0], keys[k - 1][left])
-                    gain[left[hit]], reached[left[hit]] = known[k - 1][1][place[hit]], k
+                    hit, place = known[k - 1].find(keys[k - 1][left])
+                    gain[left[hit]], reached[left[hit]] = known[k - 1].values[place[hit]], k
                     left = left[~hit]
                 symbols = sizes + 1
                 start = np.array([np.nan if b is None else b for b in base])[other]
