@@ -28,7 +28,9 @@ Definitions
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -57,15 +59,63 @@ FILE_BYTES = 16 << 20
 #: Bytes of text that are encoded at once, whole documents only.
 PIECE = 2 << 20
 #: Encoded words that a task remembers, some 50 bytes each.
-MOST_KNOWN = 150_000
-#: Words encoded in one text.
-_TOGETHER = 1000
+MOST_KNOWN = 300_000
 
 _U = np.uint64
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
+#: First bytes of the characters U+00C0 to U+07FF, none of which is white space.
+_TWO = np.zeros(256, dtype=bool)
+_TWO[0xC3:0xE0] = True
+#: First bytes of U+00C0 to U+024F, letters but for two signs; second bytes of those after 0xC3.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[0xC3:0xC9] = True
+_SIGNS = b"\x97\xb7"
 _STOP = ~T.byte_class(without=".,;:!?")
 _LETTER = ~T.byte_class(without="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_DIGIT = ~T.byte_class(without="0123456789")
+#: The same letters as characters, a space perhaps ahead.
+_LETTERS_ALONE = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f]+$"
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level BPE: itself if it can be seen, else the next from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    unseen = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(unseen)}
+
+
+_AS_CHARACTER = _byte_characters()
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a unit may begin at each byte (see ``Encoder``)."""
+    begins = np.zeros(len(data), dtype=bool)
+    if len(data) < 2:
+        return begins
+    two = np.append(False, _TWO[data[:-1]])
+    signs = (data == _SIGNS[0]) | (data == _SIGNS[1])
+    latin = np.append(False, _LATIN[data[:-1]] & ~((data[:-1] == 0xC3) & signs[1:]))
+    # By the last byte of a character, and by its first one.
+    solid, opens = _VISIBLE[data] | two, _VISIBLE[data] | _TWO[data]
+    letter, digit = _LETTER[data] | latin, _DIGIT[data]
+    begins[1:-1] |= (data[1:-1] == 32) & solid[:-2] & opens[2:]
+    begins[2:] |= (data[1:-1] == 10) & solid[:-2] & opens[2:]
+    begins[1:] |= _STOP[data[1:]] & (letter | digit)[:-1]
+    begins[1:] |= digit[1:] & letter[:-1]
+    begins[1:] |= _LETTER[data[1:]] & digit[:-1]
+    return begins
+
+
+def takes_words_alone(tokenizer: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, may be given the units between cuts one by one."""
+    split = tokenizer.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    model = tokenizer.get("model") or {}
+    if not usual or tokenizer.get("normalizer") or model.get("type", "BPE") != "BPE" or model.get("dropout"):
+        return False
+    added = [t["content"] for t in tokenizer.get("added_tokens") or []]
+    return not any(cuts(np.frombuffer(t.encode(), dtype=np.uint8)).any() or re.search(_LETTERS_ALONE, t) for t in added)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,53 +222,46 @@ def segments(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.
 class Encoder:
     """Encodes columns of texts.  With ``words_alone``, every distinct word is encoded once.
 
-    A text may be cut before a single space between two visible ASCII characters, and
-    between an ASCII letter and one of ``.,;:!?``, where the tokenizer never joins anything
-    across, as byte-level BPE with the usual pattern does not: there every word with its
-    leading space is a unit of its own, and so is a line feed before such a space.  Words
-    are therefore encoded many in a text, with line feeds between them.
+    A text is cut where byte-level BPE with the usual pattern never joins anything across:
+    before a single space and after a single line feed between two characters that are no
+    white space, between a letter and a digit, and between either and one of ``.,;:!?``.
+    What lies between two cuts is a unit of its own.  A unit of letters alone, perhaps with a
+    space ahead, is one word of the pattern and goes to the tokenizer's model directly; any
+    other unit goes through the whole tokenizer.  Tokenizers of another kind, and those
+    with an added token that a cut would part or that letters could spell, take whole texts.
     """
 
     def __init__(self, tokenizer: str, words_alone: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words_alone = Tokenizer.from_str(tokenizer), words_alone
-        between = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.between = between[0] if words_alone and len(between) == 1 else None
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.words_alone = words_alone and takes_words_alone(json.loads(tokenizer))
         self._forget()
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.sizes, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
-    def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids per word and ids of words that begin with a space, end visibly and hold no line feed."""
-        texts = ["\n".join(words[at : at + _TOGETHER]) for at in range(0, len(words), _TOGETHER)]
-        ids = [np.array([*e.ids, self.between], dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
-        ends = np.flatnonzero(ids == self.between)
-        if len(ends) != len(words):
-            raise ValueError("this tokenizer does not take words alone")
-        return np.diff(ends, prepend=-1) - 1, ids[ids != self.between]
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        model = self.tokenizer.model
+        return [[token.id for token in model.tokenize(w.encode().decode("latin-1").translate(_AS_CHARACTER))] for w in words]
 
     def _learn(self, words: pa.Array) -> np.ndarray:
         """Add ids of words that are not known; the place of each."""
-        if self.between is None:
-            order, found = np.arange(len(words)), [self._single(words.to_pylist())]
-        else:
-            plain = pc.and_(pc.match_substring_regex(words, r"^ [^\n]*[!-~]$"), pc.invert(pc.match_substring(words, "\n"))).to_numpy(zero_copy_only=False)
-            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-            found = [self._plain(words.filter(pa.array(plain)).to_pylist()), self._single(words.filter(pa.array(~plain)).to_pylist())]
+        plain = np.zeros(len(words), dtype=bool)
+        if self.words_alone:
+            plain = pc.match_substring_regex(words, _LETTERS_ALONE).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        found = self._letters(words.filter(pa.array(plain)).to_pylist()) + self._whole(words.filter(pa.array(~plain)).to_pylist())
         place = np.empty(len(words), dtype=np.int64)
         place[order] = len(self.known) + np.arange(len(words))
         self.known = pa.concat_arrays([self.known, words.take(pa.array(order))])
-        self.sizes = np.concatenate([self.sizes, *[n for n, _ in found]])
-        self.flat = np.concatenate([self.flat, *[f for _, f in found]])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
         return place
 
     def _encoded(self, words: pa.Array) -> np.ndarray:
@@ -233,11 +276,8 @@ class Encoder:
     def __call__(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, ids per row) of runs of rows; each row ends in ``end_id``."""
         for first, end, data, offsets in T.pieces(column, PIECE):
-            begins = np.zeros(len(data), dtype=bool)
+            begins = cuts(data) if self.words_alone else np.zeros(len(data), dtype=bool)
             begins[offsets[:-1][np.diff(offsets) > 0]] = True
-            if self.words_alone:
-                begins[1:-1] |= (data[1:-1] == 32) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]
-                begins[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
             begins = np.flatnonzero(begins)
             edges = np.append(begins, len(data)).astype(np.int64)
             words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()

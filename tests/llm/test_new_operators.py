@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,7 +178,7 @@ def test_code_words_hold_many_ids():
     assert [len(token_files.pack(x)[0]) for x in (ones, shorts, ids)] == [100, 858, 2000]
 
 
-PIECES = st.sampled_from([" ", "  ", "\n", "\t ", "a", "It's", "naïve", "日本", " ", "　", "1984", "--", "<|endoftext|>", "😀", "x" * 30, ".", "\x1f", "'s"])
+PIECES = st.sampled_from([" ", "  ", "\n", "\t ", "a", "It's", "naïve", "日本", " ", "　", "1984", "--", "<|endoftext|>", "😀", "x" * 30, ".", "\x1f", "'s", "é", "×", "ñ", "Ж", "ɐ", "\u0301", "\u0085", "7", "B", "²", "ª", ":", "?"])
 
 
 @settings(max_examples=200, deadline=None)
@@ -192,6 +193,16 @@ def test_words_alone_encode_like_whole_texts(texts):
     assert got == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_tokenizers_that_take_whole_texts():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        spec = json.load(file)
+    assert token_files.takes_words_alone(spec)
+    added = lambda text: spec | {"added_tokens": [*spec["added_tokens"], {"content": text}]}
+    assert token_files.takes_words_alone(added("<|pad|>"))
+    odd = [added("pad"), added("<|pad7|>"), added("<a b>"), spec | {"normalizer": {"type": "NFC"}}, spec | {"pre_tokenizer": {"type": "Whitespace"}}]
+    assert not any(token_files.takes_words_alone(x) for x in odd)
+
+
 def expected_tokens(rows: list[tuple]) -> list[tuple]:
     """(doc_id, start, n_tokens, crc32) in order; rows of equal id must have equal texts here."""
     whole, out, start = tokenizers.Tokenizer.from_file(TOKENIZER), [], 0
