@@ -142,6 +142,15 @@ def fold_of(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS))
 
 
+def _places_and_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct key, and how often it occurs; hashed, not sorted."""
+    coded = pa.array(keys).dictionary_encode()
+    of = coded.indices.to_numpy()
+    where = np.empty(len(coded.dictionary), dtype=np.int64)
+    where[of] = np.arange(len(keys))
+    return where, np.bincount(of, minlength=len(where))
+
+
 def ngram_counts(texts: DataFrame, unit: Unit) -> DataFrame:
     """(fold, g, c, r) of the highest order: the n-gram as bytes, and how often it occurs, twice; ``texts`` has text."""
     n = unit.order
@@ -157,7 +166,7 @@ def ngram_counts(texts: DataFrame, unit: Unit) -> DataFrame:
                 key = seeds(fold)
                 for k in range(n):
                     key = longer_keys(key, line[at - k])
-                _, where, c = np.unique(key, return_index=True, return_counts=True)
+                where, c = _places_and_counts(key)
                 grams = np.ascontiguousarray(line[at[where][:, None] + np.arange(1 - n, 1)])
                 raw = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(len(c), n, 8)[:, :, : unit.width])
                 ends = np.arange(len(c) + 1, dtype=np.int32) * (n * unit.width)
