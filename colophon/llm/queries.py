@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colophon.llm import collocations, disclosure, kneser_ney, line_dedup, metric_join, minhash, mixing, phrase_index, repeated_bytes, secret_links, spans, token_files, toxic_segments, vector_codes
 from colophon.llm.rows import keyed
-from colophon.workspace import new_folder
+from colophon.workspace import new_folder, store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,7 +118,9 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_folder(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.with_starts(token_files.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Stored, so that the files are decoded once and not again for their sums.
+    found = store(token_files.read_tokens(spark, path), "token-rows")
+    return token_files.with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
