@@ -340,3 +340,24 @@ def test_each_page_is_parsed_and_searched_once(spark, folder):
             assert plan.count("from_xml(") == 1, plan
         assert plan.count("regexp_extract_all") == 1
         assert "Exchange" not in plan
+
+
+def test_written_dumps_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Few long pages behind many short ones are shared out among the parts; NULL and repeated keys stay."""
+    from workload import fixtures
+
+    monkeypatch.setattr(fixtures, "LEAST_PART", 1 << 20, raising=False)
+    short = "SELECT nullif(id, 7) AS page_id, 'short' AS text FROM range(1, 2001) UNION ALL SELECT 9, 'again'"
+    long = "SELECT 100000 + id, concat_ws(' ', transform(sequence(1, 12000), i -> hex(i * (id + 31)))) FROM range(60)"
+    pages = spark.sql(f"SELECT language, page_id, coalesce(page_id, 0) AS title, text FROM ({short} UNION ALL {long}) CROSS JOIN VALUES ('de'), ('en') l(language)")
+    fixtures.write_dumps(pages, str(tmp_path / "out"))
+    parts: dict[str, list[str]] = {}
+    for file in sorted((tmp_path / "out").glob("dump=*/*.bz2"), key=lambda f: (f.parent, f.name)):
+        parts.setdefault(file.parent.name, []).append(bz2.decompress(file.read_bytes()).decode())
+    assert len(parts) == 2
+    sizes = [len(part) for dump in parts.values() for part in dump]
+    assert max(sizes) < 0.3 * sum(sizes)
+    for dump in parts.values():
+        whole = "".join(dump)
+        assert whole.count("<page>") == 2061 and whole.startswith("<mediawiki") and whole.endswith("</mediawiki>\n")
+        assert dump[0].count("<page>") >= 5 and whole.index("<title>9<") < whole.index("<title>10<") < whole.index("<title>100000<")

@@ -8,10 +8,13 @@ end of each of its sentences.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.workspace import new_folder, spread
+from colophon.functions import patterns as p
+from colophon.workspace import new_folder, spread, store
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -85,38 +88,88 @@ def _escaped(column: str) -> F.Column:
     return value
 
 
+#: Bytes that are worth a part of a dump, and the most that one part should hold.
+LEAST_PART, MOST_PART = 4 << 20, 1 << 30
+#: Bytes of a page besides its text, bytes per tick, and ticks that tell a part's borders.
+PAGE_BYTES, TICK_BYTES, TICKS = 200, 1 << 14, 100
+
+
+def _ticks(bytes_: F.Column, step: float, seed: int) -> F.Column:
+    """``bytes_`` over ``step``, rounded at random by language and key, so that sums hold."""
+    chance = F.pmod(F.xxhash64("language", "key", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+    return F.floor(bytes_ / step + chance).alias("ticks")
+
+
+def cut_pieces(rows: DataFrame, most: int) -> DataFrame:
+    """``(language, start, stop, piece)``: some ``most`` ranges of keys that hold about the same bytes of text.
+
+    Long articles follow many short ones, so equal numbers of rows would leave almost all
+    bytes to a few tasks.  Only the borders are estimated: every key is in one range of its
+    language, whose first range has no start and whose last one has no stop.  Ranges are
+    numbered in the order of language and key, and none but the last of a language has fewer pages
+    than the head of a dump.
+    """
+    spark = rows.sparkSession
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + PAGE_BYTES
+    ticks = store(rows.select("language", "key", _ticks(size, TICK_BYTES, 1)).filter("ticks > 0"), "ticks")
+    total = ticks.agg(F.sum("ticks")).first()[0] or 0
+    n = max(1, min(max(most, total * TICK_BYTES // MOST_PART), total * TICK_BYTES // LEAST_PART))
+    step = max(1.0, total / (TICKS * n))
+    thin = ticks.select("language", "key", _ticks(F.col("ticks"), step, 2)).filter("ticks > 0 AND key IS NOT NULL")
+    seen = thin.groupBy("language", "key").agg(F.sum("ticks").alias("ticks")).orderBy("language", "key").collect()
+    share = total / step / n
+    starts: dict[str | None, list[int | None]] = {r[0]: [None] for r in rows.select("language").distinct().orderBy("language").collect()}
+    language, passed, pages = None, 0, 0
+    for r in seen:
+        if r["language"] != language:
+            language, passed, pages = r["language"], 0, 0
+        if passed >= share and pages >= p.ELEMENT_PAGES:
+            starts[language].append(r["key"])
+            passed, pages = 0, 0
+        passed, pages = passed + r["ticks"], pages + 1
+    ranges = [(code, start, stop) for code, keys in starts.items() for start, stop in zip(keys, [*keys[1:], None])]
+    listed = json.dumps([dict(zip(("language", "start", "stop", "piece"), (*r, k))) for k, r in enumerate(ranges)])
+    kind = "array<struct<language:string,start:bigint,stop:bigint,piece:int>>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(listed), kind)))
+
+
 def write_dumps(pages: DataFrame, path: str, order: str = "page_id") -> str:
     """Write pages as compressed XML dumps, one folder of bz2 parts per language.
 
     ``pages`` gives ``language``, ``title``, ``text`` and the key ``order``;
     optional columns: ``ns`` (default 0), ``redirect`` (boolean), and ``damaged``
     (boolean, leaves an element open).  The parts of a dump, in name order,
-    are a well-formed document: the range partitioning puts its head first and
-    its end last, however many parts it has.
+    are a well-formed document: the first piece begins with its head and the last
+    one closes it, however many there are.
     """
     have = set(pages.columns)
     ns = F.col("ns").cast("string") if "ns" in have else F.lit("0")
     redirect = F.when(F.col("redirect"), '<redirect title="x" />').otherwise("") if "redirect" in have else F.lit("")
     close = F.when(F.col("damaged"), "").otherwise("</revision>") if "damaged" in have else F.lit("</revision>")
+    # Not indented: blanks between elements would be a fifth of a short article's page.
     page = F.concat(
-        F.lit("  <page>\n    <title>"), _escaped("title"),
-        F.lit("</title>\n    <ns>"), ns, F.lit("</ns>\n    "), redirect,
-        F.lit('\n    <revision>\n      <text xml:space="preserve">'), _escaped("text"),
-        F.lit("</text>\n    "), close, F.lit("\n  </page>"),
+        F.lit("<page><title>"), _escaped("title"), F.lit("</title><ns>"), ns, F.lit("</ns>"), redirect,
+        F.lit('<revision><text xml:space="preserve">'), _escaped("text"), F.lit("</text>"), close, F.lit("</page>"),
     )
     body = pages.select("language", F.lit(1).alias("at"), F.col(order).cast("long").alias("key"), page.alias("xml"))
-    languages = pages.select("language").distinct()
+    pieces = cut_pieces(pages.select("language", F.col(order).cast("long").alias("key"), "text"), parts(pages.sparkSession))
     head = F.lit(
         f'<mediawiki xmlns="{NAMESPACE}" version="0.11">\n  <siteinfo>\n    '
         "<sitename>Test</sitename>\n  </siteinfo>"
     )
-    frame = languages.select("language", F.lit(0).alias("at"), F.lit(0).cast("long").alias("key"), head.alias("xml"))
-    end = languages.select("language", F.lit(2).alias("at"), F.lit(0).cast("long").alias("key"), F.lit("</mediawiki>").alias("xml"))
+    zero = F.lit(0).cast("long").alias("key")
+    frame = pieces.filter("start IS NULL").select("language", F.lit(0).alias("at"), zero, head.alias("xml"), "piece")
+    end = pieces.filter("stop IS NULL").select("language", F.lit(2).alias("at"), zero, F.lit("</mediawiki>").alias("xml"), "piece")
+    # Keys that are NULL come first, as in the order of the rows.
+    key, start, stop = F.col("b.key"), F.col("p.start"), F.col("p.stop")
+    inside = (start.isNull() | F.coalesce(key >= start, F.lit(False))) & (stop.isNull() | key.isNull() | (key < stop))
+    same = F.col("b.language").eqNullSafe(F.col("p.language"))
+    placed = body.alias("b").join(F.broadcast(pieces).alias("p"), same & inside).select("b.*", "p.piece")
     name = F.concat("language", F.lit(f"wiki-{DUMP_DATE}-pages-articles-multistream.xml.bz2"))
     (
-        body.unionByName(frame).unionByName(end)
+        placed.unionByName(frame).unionByName(end)
         .withColumn("dump", name)
-        .repartitionByRange("dump", "at", "key")
+        .repartitionById(max(1, pieces.count()), "piece")
         .sortWithinPartitions("dump", "at", "key")
         .select("dump", "xml")
         .write.partitionBy("dump")
