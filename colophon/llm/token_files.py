@@ -33,6 +33,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -62,18 +63,26 @@ PIECE = 2 << 20
 MOST_KNOWN = 300_000
 
 _U = np.uint64
-_VISIBLE = np.zeros(256, dtype=bool)
-_VISIBLE[0x21:0x7F] = True
-#: First bytes of the characters U+00C0 to U+07FF, none of which is white space.
-_TWO = np.zeros(256, dtype=bool)
-_TWO[0xC3:0xE0] = True
-#: First bytes of U+00C0 to U+024F, letters but for two signs; second bytes of those after 0xC3.
-_LATIN = np.zeros(256, dtype=bool)
-_LATIN[0xC3:0xC9] = True
+#: What a byte may be, as bits: seen; first of U+00C0 to U+07FF, none of which is white space;
+#: first of U+00C0 to U+024F, letters but for two signs; a letter; a digit; a stop.
+_VISIBLE, _TWO, _LATIN, _LETTER, _DIGIT, _STOP = (1 << k for k in range(6))
+#: Second bytes of the two signs, after 0xC3.
 _SIGNS = b"\x97\xb7"
-_STOP = ~T.byte_class(without=".,;:!?")
-_LETTER = ~T.byte_class(without="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_DIGIT = ~T.byte_class(without="0123456789")
+
+
+def _byte_kinds() -> bytes:
+    kinds = bytearray(256)
+    letters = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for bit, members in (
+        (_VISIBLE, range(0x21, 0x7F)), (_TWO, range(0xC3, 0xE0)), (_LATIN, range(0xC3, 0xC9)),
+        (_LETTER, letters), (_DIGIT, b"0123456789"), (_STOP, b".,;:!?"),
+    ):
+        for byte in members:
+            kinds[byte] |= bit
+    return bytes(kinds)
+
+
+_KINDS = _byte_kinds()
 #: The same letters as characters, a space perhaps ahead.
 _LETTERS_ALONE = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u023f]+$"
 
@@ -93,17 +102,22 @@ def cuts(data: np.ndarray) -> np.ndarray:
     begins = np.zeros(len(data), dtype=bool)
     if len(data) < 2:
         return begins
-    two = np.append(False, _TWO[data[:-1]])
-    signs = (data == _SIGNS[0]) | (data == _SIGNS[1])
-    latin = np.append(False, _LATIN[data[:-1]] & ~((data[:-1] == 0xC3) & signs[1:]))
+    # All bytes are looked up at once, each by a table in one go.
+    kind = np.frombuffer(data.tobytes().translate(_KINDS), dtype=np.uint8)
+    is_ = lambda bits: (kind & bits) != 0
+    latin = np.append(False, is_(_LATIN)[:-1])
+    latin[1:] &= ~((data[:-1] == 0xC3) & ((data[1:] == _SIGNS[0]) | (data[1:] == _SIGNS[1])))
     # By the last byte of a character, and by its first one.
-    solid, opens = _VISIBLE[data] | two, _VISIBLE[data] | _TWO[data]
-    letter, digit = _LETTER[data] | latin, _DIGIT[data]
-    begins[1:-1] |= (data[1:-1] == 32) & solid[:-2] & opens[2:]
-    begins[2:] |= (data[1:-1] == 10) & solid[:-2] & opens[2:]
-    begins[1:] |= _STOP[data[1:]] & (letter | digit)[:-1]
+    solid, opens = is_(_VISIBLE), is_(_VISIBLE | _TWO)
+    solid[1:] |= is_(_TWO)[:-1]
+    plain, digit = is_(_LETTER), is_(_DIGIT)
+    letter = plain | latin
+    between = solid[:-2] & opens[2:]
+    begins[1:-1] |= (data[1:-1] == 32) & between
+    begins[2:] |= (data[1:-1] == 10) & between
+    begins[1:] |= is_(_STOP)[1:] & (letter | digit)[:-1]
     begins[1:] |= digit[1:] & letter[:-1]
-    begins[1:] |= _LETTER[data[1:]] & digit[:-1]
+    begins[1:] |= plain[1:] & digit[:-1]
     return begins
 
 
@@ -219,6 +233,15 @@ def segments(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.
         at = end + len(mark)
 
 
+@lru_cache(maxsize=1)
+def _made(tokenizer: str) -> tuple:
+    """The tokenizer that a file describes, and whether it takes words alone; a worker makes it for its first task only."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(tokenizer), takes_words_alone(json.loads(tokenizer))
+
+
 class Encoder:
     """Encodes columns of texts.  With ``words_alone``, every distinct word is encoded once.
 
@@ -232,11 +255,8 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str, words_alone: bool) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.words_alone = words_alone and takes_words_alone(json.loads(tokenizer))
+        self.tokenizer, alone = _made(tokenizer)
+        self.words_alone = words_alone and alone
         self._forget()
 
     def _forget(self) -> None:
@@ -247,8 +267,12 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[list[int]]:
-        model = self.tokenizer.model
-        return [[token.id for token in model.tokenize(w.encode().decode("latin-1").translate(_AS_CHARACTER))] for w in words]
+        if not words:
+            return []
+        # Letters hold no line feed, so all words are turned into characters at once.
+        spelled = "\n".join(words).encode().decode("latin-1").translate(_AS_CHARACTER).split(chr(_AS_CHARACTER[10]))
+        tokenize = self.tokenizer.model.tokenize
+        return [[token.id for token in tokenize(w)] for w in spelled]
 
     def _learn(self, words: pa.Array) -> np.ndarray:
         """Add ids of words that are not known; the place of each."""

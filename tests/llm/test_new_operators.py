@@ -203,6 +203,15 @@ def test_tokenizers_that_take_whole_texts():
     assert not any(token_files.takes_words_alone(x) for x in odd)
 
 
+def test_a_worker_makes_a_tokenizer_once():
+    with open(TOKENIZER, encoding="utf-8") as file:
+        spec = file.read()
+    one, two = token_files.Encoder(spec, True), token_files.Encoder(spec, False)
+    assert one.tokenizer is two.tokenizer and (one.words_alone, two.words_alone) == (True, False)
+    words = [" naïve", "Ab", "é", " x"]
+    assert one._letters([]) == [] and one._letters(words) == one._whole(words)
+
+
 def expected_tokens(rows: list[tuple]) -> list[tuple]:
     """(doc_id, start, n_tokens, crc32) in order; rows of equal id must have equal texts here."""
     whole, out, start = tokenizers.Tokenizer.from_file(TOKENIZER), [], 0
