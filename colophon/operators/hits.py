@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon import functions as C
@@ -148,14 +148,16 @@ def deduplicate_isbns(isbns: DataFrame, order: tuple[str, ...], isbn_col: str =
 
     ``order`` must order the rows totally.  The map side keeps one row per spelling, so
     an ISBN that fills a third of the input is one row by the time it moves.  An order
-    of whole numbers is folded by hash; any other one is sorted first.
+    of whole numbers is folded by hash and then ranked; any other one is sorted first.
     """
     normalized = C.normalize_isbn(isbn_col).alias("normalized")
     spelling = [normalized, F.col(isbn_col).alias("isbn")]
     if P.fits(isbns, order):
         spelled = isbns.groupBy(*spelling).agg(F.min(P.packed(isbns, order)).alias("at"))
-        first = spelled.groupBy("normalized").agg(F.min(F.struct("at", "isbn")).alias("first")).orderBy("first.at")
-        return first.select("normalized", "first.isbn", *P.unpacked(isbns, order, "first.at"))
+        # A spelling is a string, for which a grouping would sort all rows twice; ranks are limited before the shuffle.
+        turn = F.row_number().over(Window.partitionBy("normalized").orderBy("at", "isbn"))
+        first = spelled.withColumn("turn", turn).filter("turn = 1").orderBy("at")
+        return first.select("normalized", "isbn", *P.unpacked(isbns, order, "at"))
     spelled = isbns.groupBy(*spelling).agg(F.min(F.struct(*order)).alias("at"))
     first = spelled.groupBy("normalized").agg(F.min(F.struct("at", "isbn")).alias("first")).orderBy("first.at")
     return first.select("normalized", "first.isbn", "first.at.*")
