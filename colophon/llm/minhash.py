@@ -50,6 +50,10 @@ BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
 #: Ids of texts to verify are broadcast up to so many (16 MB); beyond, texts are shuffled.
 MOST_BROADCAST = 1_000_000
+#: Bytes of text whose words are hashed at once, whole documents only.
+PIECE = 1 << 18
+#: Bytes of a block's sets from which on a worker returns what it has freed.
+LARGE_BLOCK = 4 << 20
 _CHUNK = 1024
 _PAIRS = 1 << 16
 
@@ -60,7 +64,7 @@ _TERMS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 def shingle_sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
-    for first, end, data, offsets in T.pieces(column):
+    for first, end, data, offsets in T.pieces(column, PIECE):
         data = T.LOWER[data]
         starts, ends, firsts = T.word_bounds(data, offsets, T.PLAIN_WORD)
         words = T.span_hashes(data, starts, ends)
@@ -92,6 +96,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
                 ["id", "n_shingles", "same", "signature"],
             )
+        T.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(sketch, "id long, n_shingles long, same binary, signature binary")
@@ -129,6 +134,8 @@ def likely(pairs: DataFrame, sketch: DataFrame, percent: int = PERCENT) -> DataF
                 alive = alive[matches[alive] >= least]
             kept = pa.array(alive, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["u", "v"])
+            del a, b
+        T.give_back()
 
     one = sketch.select(F.col("id").alias("u"), F.col("signature").alias("a"))
     two = sketch.select(F.col("id").alias("v"), F.col("signature").alias("b"))
@@ -159,6 +166,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                     kept.append(k)
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
+        T.give_back()
 
     one = texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
     two = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
@@ -255,6 +263,7 @@ def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, percent:
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
+        T.give_back()
 
     def connect(frame: pd.DataFrame) -> pd.DataFrame:
         a, b, x, y, apart = _sides(frame)
@@ -277,6 +286,10 @@ def rest_links(members: DataFrame, sketch: DataFrame, texts: DataFrame, percent:
                 if m != n and similar(ours[i], theirs[j], percent):
                     up[max(m, n)] = min(m, n)
                     links.append((min(p[i], q[j]), max(p[i], q[j])))
+            large = sum(map(len, ours)) + sum(map(len, theirs)) > LARGE_BLOCK // 8
+            del ours, theirs
+            if large:
+                T.give_back()
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     ids = kept.select(F.col("id").alias("u"), F.col("id").alias("v"))

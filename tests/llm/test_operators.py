@@ -149,6 +149,34 @@ def test_repeated_bytes(docs, nothing, length):
     assert repeated_bytes.without_repeats(nothing).count() == 0
 
 
+def test_work_on_texts_is_bounded_and_given_back(docs, monkeypatch):
+    """A megabyte of texts is looked at in pieces, and every task that looks at texts returns its memory."""
+    import pyarrow as pa
+
+    seen, given = [], []
+    monkeypatch.setattr(tokens, "give_back", lambda: given.append(1))
+    texts = pa.array(["ab cd " * 10_000] * 20)
+    monkeypatch.setattr(tokens, "word_bounds", lambda data, *rest, old=tokens.word_bounds: seen.append(len(data)) or old(data, *rest))
+    assert len(list(minhash.shingle_sets(texts))) == 20 and max(seen) <= 1 << 18
+    seen.clear()
+    monkeypatch.setattr(repeated_bytes, "window_runs", lambda data, *rest, old=repeated_bytes.window_runs: seen.append(len(data)) or old(data, *rest))
+
+    class Table:
+        """Stands for a DataFrame: runs the function of its task here."""
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, task, _schema):  # noqa: N802
+            batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(range(20)), texts], ["d1", "d2", "text"])
+            return list(task(iter([batch])))
+
+    found = repeated_bytes.runs(Table(), 400)
+    assert sum(len(set(b.column(0).to_pylist())) for b in found) == 20 and max(seen) <= 1 << 18 and given == [1]
+
+
 def test_repeated_bytes_round_trip(docs):
     """Bytes kept and bytes removed give the text again."""
     texts = {r[0]: (r[1] or "").encode() for r in ROWS}
